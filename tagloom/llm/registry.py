@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from . import pivots, warc
 from .bpe import op10_bpe
+from .pivots import op4_pivot_topk
+from .warc import op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op4_pivot_topk": op4_pivot_topk,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc": warc.ORACLE,
+    "op4_pivot_topk": pivots.ORACLE,
+}
