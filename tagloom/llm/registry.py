@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from . import pivots, warc
 from .bpe import op10_bpe
+from .langid import op5_langid
 from .pivots import op4_pivot_topk
+from .toxicity import op2_toxicity
 from .warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_toxicity": op2_toxicity,
     "op4_pivot_topk": op4_pivot_topk,
+    "op5_langid": op5_langid,
     "op10_bpe": op10_bpe,
 }
 
