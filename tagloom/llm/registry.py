@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import pivots, warc
 from .bpe import op10_bpe
 from .langid import op5_langid
+from .neardup import op3_minhash
 from .pivots import op4_pivot_topk
 from .toxicity import op2_toxicity
 from .warc import op1_warc
@@ -12,6 +13,7 @@ from .warc import op1_warc
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
+    "op3_minhash": op3_minhash,
     "op4_pivot_topk": op4_pivot_topk,
     "op5_langid": op5_langid,
     "op10_bpe": op10_bpe,
