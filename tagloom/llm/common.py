@@ -72,3 +72,37 @@ def slices(batch: pa.RecordBatch, text_column: int, rows: int, size: int) -> Ite
         end = min(max(end, at + 1), at + rows, batch.num_rows)
         yield batch.slice(at, end - at)
         at = end
+
+
+def bit_of(key: Column, bits: int) -> Column:
+    """The place of a key in a bit map of fixed size."""
+    return F.pmod(F.xxhash64(key), F.lit(bits))
+
+
+def bit_rows(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """at, bits: a map in which the bit of each key is set, in parts of 4 KB; bits / 32768 rows at most."""
+    b = bit_of(F.col(key), bits) + 1
+    return keys.select(b.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
+
+
+def bit_array(keys: DataFrame, key: str, bits: int) -> np.ndarray:
+    """The same map as an array of bytes: `bits` bits, whatever the number of keys."""
+    held = np.zeros(bits // 8 + 4096, np.uint8)
+    for p in bit_rows(keys, key, bits).collect():  # bits / 8 bytes
+        x = np.frombuffer(bytes(p.bits), np.uint8)
+        held[(p["at"] - 1) * 4096 :][: len(x)] = x
+    return held
+
+
+def has_bit(held: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, name: str, bits: int) -> DataFrame:
+    """df with a column `maybe`: false only where the key is none of `keys`. Sends a map of fixed size to the executors."""
+    at = bit_of(key, bits)
+    rows = F.broadcast(bit_rows(keys, name, bits).withColumnsRenamed({"at": "__at", "bits": "__bits"}))
+    byte = F.conv(F.hex(F.substring("__bits", (F.pmod(at, F.lit(32768)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+    met = df.join(rows, (F.floor(at / 32768) + 1) == F.col("__at"), "left")
+    return met.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("__at", "__bits")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, table, text_buffers
+from .common import bit_array, bit_of, has_bit, materialise, slices, table, text_buffers
 from .components import components
 from .shingles import set_print, shingle_sets
 
@@ -148,25 +148,19 @@ def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     A bit map of fixed size tells which documents to hash again, so that texts needn't be shuffled.
     """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
-    parts = members.select((bit("rid") + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()  # MAP_BITS at most
-    held = np.zeros(MAP_BITS // 8 + 4096, np.uint8)
-    for p in parts:
-        x = np.frombuffer(bytes(p.bits), np.uint8)
-        held[(p["at"] - 1) * 4096 :][: len(x)] = x
+    held = bit_array(members, "rid", MAP_BITS)
     sent = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for batch in batches:
             at = np.asarray(batch.column(2))
-            keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            some = batch.filter(pa.array(keep | batch.column(0).is_null().to_numpy(zero_copy_only=False)))
+            some = batch.filter(pa.array(has_bit(bits, at) | batch.column(0).is_null().to_numpy(zero_copy_only=False)))
             for part in slices(some, 1, 4096, 4_000_000):
                 sets = shingle_sets(*text_buffers(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_print(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "print", "hashes"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), bit(F.col("doc_id").cast("long"))).mapInArrow(run, "doc_id long, print binary, hashes binary")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), bit_of(F.col("doc_id").cast("long"), MAP_BITS)).mapInArrow(run, "doc_id long, print binary, hashes binary")
     return found.select(rid().alias("rid"), "hashes").join(members, "rid", "left_semi")
 
 

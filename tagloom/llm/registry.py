@@ -6,6 +6,7 @@ from . import pivots, warc
 from .bpe import op10_bpe
 from .langid import op5_langid
 from .neardup import op3_minhash
+from .passages import op6_suffix_dedup
 from .pivots import op4_pivot_topk
 from .toxicity import op2_toxicity
 from .warc import op1_warc
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_minhash": op3_minhash,
     "op4_pivot_topk": op4_pivot_topk,
     "op5_langid": op5_langid,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op10_bpe": op10_bpe,
 }
 
