@@ -15,19 +15,19 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     to shared storage; a logarithmic number of steps ends in stars.
     """
     at = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
-    before = None
-    while True:
-        count, total = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if (count, total) == before or not count:
-            break
-        before = (count, total)
+    while not stars(at):
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, tag)
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hooked = large.join(small_least, "u")
-        small = hooked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hooked.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        at = materialise(small, tag)
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.where("u <> v"), tag)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        hooked = large.join(least, "u")
+        at = materialise(hooked.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), tag)
     roots = at.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return at.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether every node has one larger end's edge or only smaller ends'."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()

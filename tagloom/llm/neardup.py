@@ -32,7 +32,6 @@ from .shingles import set_print, shingle_sets
 K, SHARE = 64, 0.47
 #: Linked from 75 in 100.
 PERCENT = 75
-STAR_ROUNDS = 2
 #: Members of longer lists are listed anew by their whole sets before they are compared with each other.
 LONG = 32
 NAMELESS = 1 << 62
@@ -109,16 +108,15 @@ def set_postings(sets: DataFrame, members: DataFrame) -> DataFrame:
     return sets.join(members, "rid", "left_semi").select("rid", "hashes").mapInArrow(run, "value long, rid long, n long").withColumn("s", F.col("n"))
 
 
-def open_lists(lists: DataFrame, seed: int) -> DataFrame:
-    """Each list of more than one component, with a leader: the member of most shared values for seed 0, else likely one of many."""
-    chance = (F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(1 << 20)) + 1) / (1 << 20) if seed else F.lit(1.0)
-    best = F.max(F.struct((F.col("weight") * chance).alias("w"), (-F.col("rid")).alias("minus"), F.col("rid"), F.col("n"), F.col("label"))).alias("leader")
+def open_lists(lists: DataFrame) -> DataFrame:
+    """Each list of more than one component, with a leader: the member of most shared values."""
+    best = F.max(F.struct("weight", (-F.col("rid")).alias("minus"), F.col("rid"), F.col("n"), F.col("label"))).alias("leader")
     return lists.groupBy("value").agg(best, F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("value", "leader")
 
 
-def star_pairs(lists: DataFrame, seed: int) -> DataFrame:
+def star_pairs(lists: DataFrame) -> DataFrame:
     """a (leader), b: members of other components than their list's leader."""
-    met = lists.join(open_lists(lists, seed), "value").where(F.col("label") != F.col("leader.label"))
+    met = lists.join(open_lists(lists), "value").where(F.col("label") != F.col("leader.label"))
     return met.where(like_sizes("n", "leader.n")).select(F.col("leader.rid").alias("a"), F.col("rid").alias("b")).distinct()
 
 
@@ -134,15 +132,6 @@ def other_pairs(rows: DataFrame, whole: bool = False) -> DataFrame:
     return left.join(right, ["value", "bucket"]).where((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & like_sizes("an", "bn") & enough).select("a", "b").distinct()
 
 
-def filtered(pairs: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:
-    """Pairs whose union sketch has the share of common values that a link needs."""
-    side = lambda x: classes.select(F.col("rid").alias(x), F.col("sketch").alias("s" + x))
-    met = pairs.join(side("b"), "b").join(side("a"), "a")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    return met.where(common >= F.ceil(F.size(union) * SHARE)).select("a", "b")
-
-
 def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """rid and full set (sorted hashes) of the members, from one more pass over the texts.
 
@@ -164,34 +153,44 @@ def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return found.select(rid().alias("rid"), "hashes").join(members, "rid", "left_semi")
 
 
+def likely(x: np.ndarray, y: np.ndarray, k: int = K) -> bool:
+    """Whether the sketch of the union has the share of common values that a link needs."""
+    x, y = x[:k], y[:k]
+    union = np.union1d(x, y)[:k]
+    common = np.intersect1d(x, y, assume_unique=True)
+    return np.isin(union, common, assume_unique=True).sum() >= np.ceil(len(union) * SHARE)
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two whole sets, sorted, are alike enough."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that are linked by their full sets."""
+    """Pairs that are linked: their sketches, the first values of their sets, tell which aren't; whole sets decide on the rest."""
     side = lambda x: sets.select(F.col("rid").alias(x), F.col("hashes").alias("h" + x))
     met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ha", "hb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            sides = ((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True))
+            yield batch.select([0, 1]).filter(pa.array([likely(x, y) and linked(x, y) for x, y in sides], pa.bool_()))
 
     return met.mapInArrow(run, "a long, b long")
 
 
 class Links:
-    """Verified links so far and the components they make."""
+    """Verified links so far, as the components they make."""
 
-    def __init__(self, classes: DataFrame, sets: DataFrame):
-        self.classes, self.sets, self.edges, self.roots = classes, sets, None, None
+    def __init__(self, sets: DataFrame):
+        self.sets, self.roots = sets, None
 
     def add(self, pairs: DataFrame) -> None:
-        found = materialise(verified(filtered(pairs, self.classes), self.sets), "near-edges")
+        found = materialise(verified(pairs, self.sets), "near-edges")
         if not found.isEmpty():
-            self.edges = found if self.edges is None else self.edges.unionByName(found)
-            self.roots = materialise(components(self.edges, "near-components"), "near-roots")
+            known = found if self.roots is None else found.unionByName(self.roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
+            self.roots = materialise(components(known, "near-components"), "near-roots")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -202,17 +201,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     postings = classes.select("rid", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     lists = materialise(inverted_lists(postings, SHARE), "near-lists")
     sets = materialise(full_sets(docs, lists.select("rid").distinct()), "near-sets")
-    links = Links(classes, sets)
-    for seed in range(STAR_ROUNDS):
-        links.add(star_pairs(labelled(lists, links.roots), seed))
+    links = Links(sets)
+    links.add(star_pairs(labelled(lists, links.roots)))
     rest = materialise(open_members(labelled(lists, links.roots)), "near-open")
-    links.add(other_pairs(rest.where(F.col("long") <= LONG)))
+    pairs = other_pairs(rest.where(F.col("long") <= LONG))
     # members of long lists: their whole sets tell what must be shared more narrowly than sketches can
     many = rest.where(F.col("long") > LONG).select("rid").distinct()
-    if not many.isEmpty():
+    if many.isEmpty():
+        links.add(pairs)
+    else:
         lists = materialise(inverted_lists(set_postings(sets, many), PERCENT / 100), "near-long")
-        for seed in range(STAR_ROUNDS):
-            links.add(star_pairs(labelled(lists, links.roots), seed))
+        links.add(pairs.unionByName(star_pairs(labelled(lists, links.roots))))
         links.add(other_pairs(open_members(labelled(lists, links.roots)), whole=True))
     roots = links.roots
     copies = classes.where("copies > 1").select("print", "rid")
