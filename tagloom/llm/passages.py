@@ -32,7 +32,7 @@ MAP_BITS, KEY_BITS = 1 << 24, 1 << 27
 #: Bytes of a shard, about; and of the distinct runs of one key that still go to a shard.
 SHARD, HOT = 3_000_000, 3_000_000
 #: Bytes of text that a worker looks at at once.
-PART = 4_000_000
+PART = 250_000
 BREAK = np.array([255], np.uint8)  # between runs; no byte of UTF-8
 #: Distinct runs whose bytes a task has sent and won't send again.
 SENT = 500_000
