@@ -6,6 +6,7 @@ from . import pivots, warc
 from .bpe import op10_bpe
 from .langid import op5_langid
 from .neardup import op3_minhash
+from .packing import op7_packing
 from .passages import op6_suffix_dedup
 from .pivots import op4_pivot_topk
 from .toxicity import op2_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_pivot_topk": op4_pivot_topk,
     "op5_langid": op5_langid,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_packing": op7_packing,
     "op10_bpe": op10_bpe,
 }
 
