@@ -56,7 +56,8 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, end to end, and the rows' n + 1 offsets in them; nulls are empty."""
-    col = (col.cast(pa.large_string()) if pa.types.is_string(col.type) else col).fill_null("")
+    col = col.cast(pa.large_string()) if pa.types.is_string(col.type) else col
+    col = col.fill_null("") if col.null_count else col
     _, offsets, data = col.buffers()
     offs = np.frombuffer(offsets, np.int64, len(col) + 1, col.offset * 8)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

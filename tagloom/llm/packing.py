@@ -49,21 +49,28 @@ class Ids:
 
     def __init__(self, spec: str):
         import tiktoken
-        import tokenizers
 
         data = json.loads(spec)
         byte_of = {c: b for b, c in enumerate(byte_chars())}
         ranks = {bytes([byte_of[c] for c in t]): i for t, i in data["model"]["vocab"].items()}
         self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.full = tokenizers.Tokenizer.from_str(spec)
-        self.full.no_truncation()
-        self.full.no_padding()
+        self.spec, self.full = spec, None
         self.special = [t["content"] for t in data.get("added_tokens", [])]
         self.kind = np.dtype(id_kind(data))
 
+    def slow(self):
+        """The library itself, made when first needed."""
+        if self.full is None:
+            import tokenizers
+
+            self.full = tokenizers.Tokenizer.from_str(self.spec)
+            self.full.no_truncation()
+            self.full.no_padding()
+        return self.full
+
     def of(self, text: str) -> list[int]:
         if any(s in text for s in self.special) or LONG_PIECE.search(text):
-            return self.full.encode(text, add_special_tokens=False).ids
+            return self.slow().encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
 
@@ -89,7 +96,7 @@ def tokenised(docs: DataFrame, vocabulary: str, key: str, text: str) -> DataFram
         ids_of = _IDS[h] if h in _IDS else _IDS.setdefault(h, Ids(spec.value))
         block, ranks, row, full = TaskContext.get().partitionId(), Counter(), 0, 0
         for batch in batches:
-            for part in slices(batch, 1, 1024, 4_000_000):
+            for part in slices(batch, 1, 256, 500_000):
                 out = []
                 for t in part.column(1).to_pylist():
                     ids = np.array([*ids_of.of(t or ""), END_ID], np.uint32)
