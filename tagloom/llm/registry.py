@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import pivots, warc
+from . import lines, pivots, warc
 from .bpe import op10_bpe
+from .iblt import op9_fingerprints
 from .langid import op5_langid
+from .lines import op8_line_dedup
 from .neardup import op3_minhash
 from .packing import op7_packing
 from .passages import op6_suffix_dedup
@@ -20,10 +22,13 @@ QUERIES = {
     "op5_langid": op5_langid,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_packing": op7_packing,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_fingerprints": op9_fingerprints,
     "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc": warc.ORACLE,
     "op4_pivot_topk": pivots.ORACLE,
+    "op8_line_dedup": lines.ORACLE,
 }
