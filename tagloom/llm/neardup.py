@@ -49,7 +49,7 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 4096, 4_000_000):
+            for part in slices(batch, 1, 1024, 500_000):
                 sets = shingle_sets(*text_buffers(part.column(1)))
                 low = [signed(x[:k]) for x in sets]
                 offs = pa.array(np.cumsum([0, *map(len, low)]), pa.int32())
@@ -145,7 +145,7 @@ def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
         for batch in batches:
             at = np.asarray(batch.column(2))
             some = batch.filter(pa.array(has_bit(bits, at) | batch.column(0).is_null().to_numpy(zero_copy_only=False)))
-            for part in slices(some, 1, 4096, 4_000_000):
+            for part in slices(some, 1, 1024, 500_000):
                 sets = shingle_sets(*text_buffers(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_print(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "print", "hashes"])
 
