@@ -39,8 +39,9 @@ def placed(keys: Column, cells: Column, level: int, sign: int = 1) -> Column:
     return F.transform(keys, lambda k: F.struct(F.lit(sign).alias("n"), k.alias("k"), F.xxhash64(k, F.lit(-1 - level)).alias("h"), place(k, 0).alias("a"), place(k, 1).alias("b"), place(k, 2).alias("c")))
 
 
-def at_cell(items: Column, i: Column) -> Column:
-    return F.filter(items, lambda x: (x["a"] == i) | (x["b"] == i) | (x["c"] == i))
+def at_cell(items: Column, i: Column, third: Column) -> Column:
+    """The items of a cell: its third tells which of their places counts."""
+    return F.when(i < third, F.filter(items, lambda x: x["a"] == i)).when(i < 2 * third, F.filter(items, lambda x: x["b"] == i)).otherwise(F.filter(items, lambda x: x["c"] == i))
 
 
 def added(cell: Column, items: Column, sign: int) -> Column:
@@ -52,7 +53,7 @@ def sketch(keys: Column, cells: Column, level: int) -> Column:
     """The cells of a set of digests."""
     items = placed(keys, cells, level)
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-    one = lambda it: F.transform(F.sequence(F.lit(0), cells - 1), lambda i: added(empty, at_cell(it, i), 1))
+    one = lambda it: F.transform(F.sequence(F.lit(0), cells - 1), lambda i: added(empty, at_cell(it, i, (cells / 3).cast("int")), 1))
     return F.element_at(F.transform(F.array(items), one), 1)  # items made once
 
 
@@ -71,7 +72,7 @@ def peeled(cells: Column, size: Column, level: int) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         def taken(items: Column) -> Column:
-            rest = F.transform(state["cells"], lambda x, i: added(x, at_cell(items, i), -1))
+            rest = F.transform(state["cells"], lambda x, i: added(x, at_cell(items, i, (size / 3).cast("int")), -1))
             return F.struct(F.when(F.size(items) > 0, rest).otherwise(state["cells"]).alias("cells"), (state["found"] + F.size(items)).alias("found"))
 
         busy = F.exists(state["cells"], lambda x: x["n"] != 0)
