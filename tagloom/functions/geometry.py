@@ -102,5 +102,5 @@ def same_shelf_row(a: Column, b: Column, most_dy: float = 0.55) -> Column:
 def yolo_line(b: Column, w: Column, h: Column, label: int = 0) -> Column:
     """A label line: class, centre and size by the picture's, six decimals."""
     c = clip(b, w, h)
-    six = lambda x: F.format_number(x, "0.000000")
+    six = lambda x: F.call_function("format_number", x, F.lit("0.000000"))
     return F.concat_ws(" ", F.lit(str(label)), six((c["x_min"] + c["x_max"]) / 2 / w), six((c["y_min"] + c["y_max"]) / 2 / h), six(width(c) / w), six(height(c) / h))

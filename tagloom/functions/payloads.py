@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import ABSENT, COMPACT_KEYS, PAYLOAD_KEYS
-from .text import price_to_str
+from .text import let, price_to_str
 
 MAP = "map<string,string>"
 PAIR = r"([A-Za-z0-9_]+)\s*[:=]\s*([^;&|,\n\r]+)"
@@ -14,8 +14,8 @@ PAIR = r"([A-Za-z0-9_]+)\s*[:=]\s*([^;&|,\n\r]+)"
 
 def last_wins(pairs: Column) -> Column:
     """A map of array<struct(k, v)>; of repeated keys the last counts."""
-    keep = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(keep)
+    last = lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(let(pairs, last))
 
 
 def query_map(query: Column) -> Column:
@@ -48,7 +48,7 @@ def payload_map(payload: Column) -> Column:
     as_json = F.when(raw.rlike(r"(?s)^\{.*\}$"), F.map_filter(F.from_json(raw, MAP), lambda _, v: v.isNotNull()))
     url_query = F.try_parse_url(raw, F.lit("QUERY"))
     query = F.when(url_query.isNotNull() & (url_query != ""), url_query).when(F.contains(raw, F.lit("=")), raw)
-    some = lambda m: F.when(F.size(m) > 0, m)
+    some = lambda m: let(m, lambda x: F.when(F.size(x) > 0, x))
     return F.coalesce(some(as_json), some(query_map(query)), some(pair_map(raw)), compact_map(raw))
 
 
@@ -57,15 +57,21 @@ def parse_payload(payload: Column) -> Column:
     raw = F.trim(F.coalesce(payload, F.lit("")))
     gtin = F.regexp_extract(raw, r"\(01\)\s*([0-9]{14})", 1)
     code = F.when(raw.rlike("^[0-9]{8,14}$"), raw).when(gtin != "", F.regexp_replace(gtin, "^0", ""))
-    data = payload_map(raw)
-    lower = last_wins(F.transform(F.map_entries(data), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v"))))
-    fields = []
-    for field, keys in PAYLOAD_KEYS.items():
-        options = [F.nullif(F.trim(F.coalesce(F.element_at(data, k), F.element_at(lower, k.lower()))), F.lit("")) for k in keys]
-        value = F.coalesce(*options)
-        fields.append(F.struct(F.lit(field).alias("k"), (price_to_str(value) if "price" in field else value).alias("v"), value.isNotNull().alias("ok")))
-    known = F.map_from_entries(F.transform(F.filter(F.array(*fields), lambda f: f["ok"]), lambda f: F.struct(f["k"].alias("k"), f["v"].alias("v"))))
-    return F.when(code.isNotNull(), F.create_map(F.lit("qr_code_barcode"), code)).when(raw == "", F.create_map().cast(MAP)).otherwise(known)
+
+    def known(data: Column) -> Column:
+        lower = last_wins(F.transform(F.map_entries(data), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v"))))
+        return let(F.struct(data.alias("data"), lower.alias("lower")), aliased)
+
+    def aliased(m: Column) -> Column:
+        found = []
+        for field, keys in PAYLOAD_KEYS.items():
+            options = [F.nullif(F.trim(F.coalesce(F.element_at(m["data"], k), F.element_at(m["lower"], k.lower()))), F.lit("")) for k in keys]
+            found.append(F.struct(F.lit(field).alias("k"), F.coalesce(*options).alias("v"), F.lit("price" in field).alias("price")))
+        values = F.filter(F.array(*found), lambda f: f["v"].isNotNull())
+        return F.map_from_entries(F.transform(values, lambda f: F.struct(f["k"].alias("k"), F.when(f["price"], price_to_str(f["v"])).otherwise(f["v"]).alias("v"))))
+
+    fields = let(payload_map(raw), known)
+    return F.when(code.isNotNull(), F.create_map(F.lit("qr_code_barcode"), code)).when(raw == "", F.create_map().cast(MAP)).otherwise(fields)
 
 
 def parse_payloads(payloads: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ SPECIAL = r"(?U)(?:^|\s)([ШшКкЛл])(?:\s|$)"
 NOT_PRODUCT = r"(?iu)(руб|коп|цена|скид|карте|штрих|артикул|qr|код|дата|печати|итого|%|₽)"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalize_text(x: Column) -> Column:
     """No-break spaces and runs of white space to one space, none at the ends."""
     return F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), r"^ | $", "")
@@ -52,11 +59,11 @@ def filled(x: Column) -> Column:
 
 def two_decimals(x: Column) -> Column:
     """A double with two decimals, rounded half-even on its exact value."""
-    return F.format_number(x, "0.00")
+    return F.call_function("format_number", x, F.lit("0.00"))
 
 
 def one_decimal(x: Column) -> Column:
-    return F.format_number(x, "0.0").cast("double")
+    return F.call_function("format_number", x, F.lit("0.0")).cast("double")
 
 
 def price_to_str(x: Column) -> Column:
@@ -125,7 +132,10 @@ def with_price(prices: Column, whole: Column, cents: Column, context: Column) ->
 
 def find_prices(raw: Column) -> Column:
     """Prices of a text: decimal ones, then spaced and compact ones where no earlier match lies."""
-    text = normalize_text(raw)
+    return let(normalize_text(raw), prices_in)
+
+
+def prices_in(text: Column) -> Column:
     spans = "array<struct<a:int,b:int>>"
     state = F.struct(F.array().cast("array<string>").alias("p"), F.array().cast(spans).alias("o"))
     unit = lambda m: around(text, m["a"], m["b"], 4, 5).rlike(UNIT)
@@ -167,10 +177,11 @@ def product_lines(lines: Column) -> Column:
 
     def ok(t: Column) -> Column:
         digits, letters = F.regexp_count(t, F.lit(r"\p{Nd}")), F.regexp_count(t, F.lit(r"\p{L}"))
-        plain = ~t.rlike(NOT_PRODUCT) & ~t.rlike(PRINTED) & ~t.rlike(ZONE) & (F.size(find_prices(t)) == 0)
-        return (F.length(t) >= 5) & t.rlike("[А-Яа-яЁё]") & plain & (letters >= 3) & (digits <= F.greatest(F.lit(5), letters))
+        plain = ~t.rlike(NOT_PRODUCT) & ~t.rlike(PRINTED) & ~t.rlike(ZONE)
+        cheap = (F.length(t) >= 5) & t.rlike("[А-Яа-яЁё]") & plain & (letters >= 3) & (digits <= F.greatest(F.lit(5), letters))
+        return cheap & (F.size(find_prices(t)) == 0)
 
-    return F.filter(F.transform(lines, normalize_text), ok)
+    return let(F.transform(lines, normalize_text), lambda ts: F.filter(ts, ok))
 
 
 def clean_product_name(x: Column) -> Column:

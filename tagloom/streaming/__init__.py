@@ -1 +1 @@
-"""Tag analytics: streaming."""
+"""Stateful operators over streams of frames."""
