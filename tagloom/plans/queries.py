@@ -111,7 +111,7 @@ def normalised_rows(spark, sf_dir):
 
 
 GATE = fx.TRACK_ROWS + """, g AS (SELECT track_id, max(CASE WHEN barcode <> '' THEN barcode END) AS barcode, max(CASE WHEN product_name NOT IN ('', 'нет', 'νες') AND track_id % 2 = 0 THEN product_name END) AS product_name,
- max(CASE WHEN track_id % 5 = 0 THEN price_default END) AS price, count(*) AS n, list_distinct(list(source) FILTER (WHERE track_id % 7 <> 0 OR source <> 'yolo')) AS sources FROM tr WHERE ord % 9 < 3 GROUP BY track_id)"""
+ max(CASE WHEN track_id % 5 = 0 THEN price_default END) AS price, count(*) AS n, coalesce(list_distinct(list(source) FILTER (WHERE track_id % 7 <> 0 OR source <> 'yolo')), []) AS sources FROM tr WHERE ord % 9 < 3 GROUP BY track_id)"""
 
 
 @query("source_gate", GATE + """SELECT track_id FROM g WHERE list_contains(sources, 'yolo') OR NOT list_has_any(sources, ['heuristic', 'red_white_tag', 'qr_seed', 'color_geometry'])
