@@ -63,7 +63,9 @@ def buckets_of(word: str) -> np.ndarray:
 def fit(texts: list[str], langs: list[str]) -> Model:
     """Logistic classifiers for all bits at once, by full-batch descent with Nesterov's momentum."""
     names = sorted(set(langs))
-    code = codewords(len(names)) if names else np.ones((0, 1), int)
+    if not names:
+        return Model([], np.ones((0, 1), int), np.zeros((BUCKETS, 1), np.float32), np.zeros(1), np.ones(1))
+    code = codewords(len(names))
     x, cache = np.zeros((len(texts), BUCKETS), np.float32), {}
     for i, t in enumerate(texts):
         if counts := Counter(words_of(t)):
@@ -76,17 +78,17 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     # columns to a common scale: rare n-grams would otherwise learn slowly
     scale = 1 / np.sqrt((x**2).mean(0) + 1e-7)
     x *= scale
-    y = code[[names.index(v) for v in langs]].astype(np.float32) if names else np.zeros((0, 1), np.float32)
+    y = code[[names.index(v) for v in langs]].astype(np.float32)
     share = np.array([1 / max(1, langs.count(n)) for n in langs], np.float32)[:, None]
     share /= max(share.sum(), 1e-9)
     w, b, v = np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32), np.zeros((BUCKETS, code.shape[1]), np.float32)
-    step = RATE / max(1.0, float((x**2).sum(1).mean()) if len(x) else 1.0)
-    for _ in range(EPOCHS if len(x) else 0):
+    step = RATE / max(1.0, float((x**2).sum(1).mean()))
+    for _ in range(EPOCHS):
         ahead = w + 0.9 * v
         g = share * -y / (1 + np.exp(np.clip(y * (x @ ahead + b), -30, 30)))
         v = 0.9 * v - step * (x.T @ g + DECAY * ahead)
         w, b = w + v, b - RATE * g.sum(0)
-    right = ((np.sign(x @ w + b) == y) * share).sum(0) if len(x) else np.ones(code.shape[1])
+    right = ((np.sign(x @ w + b) == y) * share).sum(0)
     return Model(names, code, w * scale[:, None], b, np.maximum(right - 0.5, 0.01))
 
 

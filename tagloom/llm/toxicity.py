@@ -30,7 +30,7 @@ from .words import WordTable, grams, words_of
 #: Labelled rows the model is fitted on, at most: of either label half.
 SAMPLE = 3000
 BUCKETS, WIDTH, LEAST, MOST = 1 << 16, 8, 3, 5
-EPOCHS, BATCH, RATE = 8, 32, 0.15
+STEPS, BATCH, RATE = 800, 32, 0.15
 WINDOW = 48
 #: Rows of margin 0 added to each mean, so that a few words decide less.
 FEW = 60
@@ -60,7 +60,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     emb = ((rng.random((BUCKETS, WIDTH)) - 0.5) / WIDTH).astype(np.float32)
     top, bias = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
     g_emb, g_top, g_bias = np.full(BUCKETS, 1e-8, np.float32), np.full_like(top, 1e-8), np.full(2, 1e-8, np.float32)
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS * BATCH // max(1, len(bags)))):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
