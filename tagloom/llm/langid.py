@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, slices, table
+from .common import bounded_sample, fold, slices, table, tidy
 from .words import WordTable, grams, words_of
 
 #: Rows the classifier is fitted on, at most.
@@ -144,7 +144,7 @@ def predict(docs: DataFrame, model: Model, more: list[str]) -> DataFrame:
 
     kinds = [docs.schema[c].dataType.simpleString() for c in more]
     schema = "".join(f"c{i} {k}, " for i, k in enumerate(kinds)) + "lang_pred string, score double, ambiguous boolean"
-    out = docs.select(F.col("text"), *(F.col(c) for c in more)).mapInArrow(run, schema)
+    out = docs.select(F.col("text"), *(F.col(c) for c in more)).mapInArrow(tidy(run), schema)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(more)), "lang_pred", "score", "ambiguous")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_array, bit_of, has_bit, materialise, slices, table, text_buffers
+from .common import bit_array, bit_of, has_bit, materialise, slices, table, text_buffers, tidy
 from .components import components
 from .shingles import set_print, shingle_sets
 
@@ -56,7 +56,7 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
                 sketch = pa.ListArray.from_arrays(offs, pa.array(np.concatenate(low) if low else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_print(x) for x in sets], pa.binary()), sketch], names=["doc_id", "n_shingles", "print", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, n_shingles long, print binary, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(tidy(run), "doc_id long, n_shingles long, print binary, sketch array<long>")
 
 
 def rid(doc_id: str = "doc_id") -> Column:
@@ -105,7 +105,7 @@ def set_postings(sets: DataFrame, members: DataFrame) -> DataFrame:
                 v = np.frombuffer(x.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.full(len(v), i)), pa.array(np.full(len(v), len(v)))], names=["value", "rid", "n"])
 
-    return sets.join(members, "rid", "left_semi").select("rid", "hashes").mapInArrow(run, "value long, rid long, n long").withColumn("s", F.col("n"))
+    return sets.join(members, "rid", "left_semi").select("rid", "hashes").mapInArrow(tidy(run), "value long, rid long, n long").withColumn("s", F.col("n"))
 
 
 def open_lists(lists: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                 sets = shingle_sets(*text_buffers(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_print(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "print", "hashes"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), bit_of(F.col("doc_id").cast("long"), MAP_BITS)).mapInArrow(run, "doc_id long, print binary, hashes binary")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), bit_of(F.col("doc_id").cast("long"), MAP_BITS)).mapInArrow(tidy(run), "doc_id long, print binary, hashes binary")
     return found.select(rid().alias("rid"), "hashes").join(members, "rid", "left_semi")
 
 
@@ -177,7 +177,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             sides = ((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True))
             yield batch.select([0, 1]).filter(pa.array([likely(x, y) and linked(x, y) for x, y in sides], pa.bool_()))
 
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(tidy(run), "a long, b long")
 
 
 class Links:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_chars
-from .common import materialise, slices, table
+from .common import materialise, slices, table, tidy
 
 LENGTH = 1024
 END_ID = 0
@@ -109,7 +109,7 @@ def tokenised(docs: DataFrame, vocabulary: str, key: str, text: str) -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))], names=["key", "block", "row", "doc_tokens", "crcs", "full_rank", "rest", "rest_rank", "rest_crc", "rest_ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, block int, row long, doc_tokens long, crcs array<long>, full_rank long, rest int, rest_rank long, rest_crc long, rest_ids binary")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(tidy(run), f"key {kind}, block int, row long, doc_tokens long, crcs array<long>, full_rank long, rest int, rest_rank long, rest_crc long, rest_ids binary")
 
 
 class Knapsack:
@@ -286,7 +286,7 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     type_ = docs.schema[key].dataType.simpleString()
-    cut = streamed.mapInArrow(run, f"key {type_}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    cut = streamed.mapInArrow(tidy(run), f"key {type_}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return full.unionByName(whole).unionByName(cut).withColumnRenamed("key", key)
 
 

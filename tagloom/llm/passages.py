@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import SPAN, windows
-from .common import bit_array, has_bit, materialise, maybe_in, slices, table, text_buffers
+from .common import bit_array, give_back, has_bit, materialise, maybe_in, slices, table, text_buffers, tidy
 from .induced import suffix_order
 
 MAP_BITS, KEY_BITS = 1 << 24, 1 << 27
 #: Bytes of a shard, about; and of the distinct runs of one key that still go to a shard.
-SHARD, HOT = 3_000_000, 3_000_000
+SHARD, HOT = 2_000_000, 2_000_000
 #: Bytes of text that a worker looks at at once.
 PART = 250_000
 BREAK = np.array([255], np.uint8)  # between runs; no byte of UTF-8
@@ -75,7 +75,7 @@ def run_keys(texts: DataFrame) -> DataFrame:
                 for w, _ in part_windows(*text_buffers(part.column(0))):
                     yield pa.RecordBatch.from_arrays([pa.array(w["key"].view(np.int64))], names=["key"])
 
-    return texts.select("text").mapInArrow(run, "key long").groupBy("key").count().where("count > 1").select("key")
+    return texts.select("text").mapInArrow(tidy(run), "key long").groupBy("key").count().where("count > 1").select("key")
 
 
 def candidate_runs(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def candidate_runs(texts: DataFrame, keys: DataFrame) -> DataFrame:
                     kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(w["key"][keep].view(np.int64)), *(pa.array(v, k) for v, k in zip(cols.values(), kinds, strict=True))], names=["key", *cols])
 
-    return texts.select("rid", "text").mapInArrow(hashed, "key long, sid binary, rid binary, start long, windows int, bytes binary")
+    return texts.select("rid", "text").mapInArrow(tidy(hashed), "key long, sid binary, rid binary, start long, windows int, bytes binary")
 
 
 def spark_hash(x: np.ndarray) -> np.ndarray:
@@ -148,7 +148,10 @@ def shard_hits(work: DataFrame, shards: int) -> DataFrame:
     def one(tab: pa.Table) -> pa.Table:
         runs = [np.frombuffer(x.as_buffer(), np.uint8) for x in tab["bytes"]]
         found = repeats_in(runs, np.asarray(tab["windows"]), np.asarray(tab["n"]) > 1)
-        return pa.Table.from_pylist([{"sid": s, "hits": intervals(h)} for s, h in zip(tab["sid"].to_pylist(), found, strict=True) if h.any()], HITS)
+        out = pa.Table.from_pylist([{"sid": s, "hits": intervals(h)} for s, h in zip(tab["sid"].to_pylist(), found, strict=True) if h.any()], HITS)
+        del runs, found
+        give_back()
+        return out
 
     dealt = work.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shards)))
     return dealt.select("shard", "sid", "windows", "n", "bytes").groupBy("shard").applyInArrow(one, "sid binary, hits array<struct<a:int,z:int>>")
@@ -163,7 +166,7 @@ def window_hits(hot: DataFrame) -> DataFrame:
                 names = [hashlib.blake2b(raw[i : i + SPAN], digest_size=16).digest() for i in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([sid] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([k] * n, pa.int64()), pa.array(names, pa.binary())], names=["sid", "i", "n", "name"])
 
-    found = materialise(hot.select("sid", "windows", "n", "bytes").mapInArrow(run, "sid binary, i int, n long, name binary"), "passages-windows")
+    found = materialise(hot.select("sid", "windows", "n", "bytes").mapInArrow(tidy(run), "sid binary, i int, n long, name binary"), "passages-windows")
     twice = found.groupBy("name").agg(F.sum("n").alias("times")).where("times > 1").select("name")
     hits = found.join(twice, "name").groupBy("sid").agg(F.array_sort(F.collect_list("i")).alias("at"))  # a run's windows: some hundreds
     return hits.select("sid", F.transform("at", lambda i: F.struct(i.alias("a"), i.alias("z"))).alias("hits"))
@@ -237,7 +240,7 @@ def remove_passages(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "runs"])
 
     kind = docs.schema[key].dataType.simpleString()
-    cut_ = some.mapInArrow(run, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs {runs_type}").withColumnRenamed("key", key)
+    cut_ = some.mapInArrow(tidy(run), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs {runs_type}").withColumnRenamed("key", key)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     zero = F.lit(0).cast("long")
     whole = none.select(key, size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), F.array().cast(runs_type).alias("runs"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, slices, table
+from .common import bounded_sample, fold, slices, table, tidy
 from .words import WordTable, grams, words_of
 
 #: Labelled rows the model is fitted on, at most: of either label half.
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model: Model, more: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(p), pa.array(p >= THRESHOLD).cast(pa.int32())], names=[f"c{i}" for i in range(len(more))] + ["score", "predicted"])
 
     kinds = [docs.schema[c].dataType.simpleString() for c in more]
-    out = docs.select(F.col("text"), *(F.col(c) for c in more)).mapInArrow(run, "".join(f"c{i} {k}, " for i, k in enumerate(kinds)) + "score double, predicted int")
+    out = docs.select(F.col("text"), *(F.col(c) for c in more)).mapInArrow(tidy(run), "".join(f"c{i} {k}, " for i, k in enumerate(kinds)) + "score double, predicted int")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(more)), "score", "predicted")
 
 

@@ -11,7 +11,7 @@ import numpy as np
 #: Letters of any script, in a row.
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words a worker keeps; it starts anew beyond that.
-KEEP = 400_000
+KEEP = 250_000
 
 
 def words_of(text: str) -> list[str]:
