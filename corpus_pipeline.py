@@ -15,7 +15,7 @@ from tagloom.llm.common import materialise, table
 #: In this order; each calls one operator (numbers 5, 8, 3, 6 and 7).
 STAGES = [
     ("language_id", langid.stage),
-    ("line_dedup", lines.stage),
+    ("line_dedup", lines.pipeline_stage),
     ("near_duplicates", neardup.stage),
     ("passage_dedup", passages.stage),
     ("packing", packing.stage),

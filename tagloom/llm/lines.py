@@ -4,7 +4,8 @@ Every document is a sequence of line ids. Ranks of the suffixes by their first h
 a position and h lines on gives the rank by 2 h lines, by a global sort of the distinct pairs. Suffixes whose first h
 lines occur once drop out, so what is sorted shrinks to what repeats. At depth MIN_LINES the suffixes of one rank are a
 longest-common-prefix interval: its first suffix, by (doc_id, line), stays, the lines of the others are deleted;
-neighbouring deleted windows make up maximal runs.
+neighbouring deleted windows make up maximal runs. Where a number of words is given, a line of so many words is a run by
+itself: the later ones of its depth-1 group are deleted too. The pipeline asks for LONG_WORDS; op8 and its SQL don't.
 
 Defined cases: lines end at "\\n"; null texts have no lines and stay null; a run of blank lines alone is no repeat; rows of equal doc_id
 and text are one document and are treated alike; null doc_ids come first; an empty table gives no rows; only the named
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import materialise, maybe_in, table
 
 MIN_LINES = 2
+#: Words that make a single line a run in the pipeline.
+LONG_WORDS = 50
 MAP_BITS = 1 << 24
 
 
@@ -32,14 +35,19 @@ def ranked(groups: DataFrame, *keys: str) -> DataFrame:
     return materialise(groups.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), "lines-ranks")
 
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc (see document()) and at: first lines of windows of min_lines lines that have an earlier copy."""
+def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
+    """doc (see document()), at and n: first lines and lengths of windows that have an earlier copy.
+
+    Windows have min_lines lines; with long_words, also one line of at least so many words.
+    """
     lines = docs.where("text IS NOT NULL").select("doc_id", document().alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    rows = lines.select("doc_id", "doc", "at", F.unhex(F.md5("line")).alias("a"), (F.length(F.trim("line")) > 0).cast("int").alias("filled"))
+    long = F.size(F.array_remove(F.split("line", r"\s+"), "")) >= long_words if long_words else F.lit(False)
+    rows = lines.select("doc_id", "doc", "at", F.unhex(F.md5("line")).alias("a"), (F.length(F.trim("line")) > 0).cast("int").alias("filled"), long.alias("long"))
     rows = materialise(rows.distinct(), "lines-rows")
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "doc", "at")).alias("first")
     repeated = lambda x, *keys: x.groupBy(*keys).agg(F.count("*").alias("n"), first, F.max("filled").alias("any")).where("n > 1")
     groups = ranked(repeated(rows, "a").select("a", "first", "any"), "a")
+    singles = rows.where("long").join(groups.select("a", "first"), "a").where("doc <> first.doc OR at <> first.at").select("doc", "at", F.lit(1).alias("n"))
     depth, suffixes = 1, rows.join(groups.select("a", "rank"), "a").select("doc_id", "doc", "at", "rank", "filled")
     while depth < min_lines:
         step = min(depth, min_lines - depth)
@@ -50,13 +58,14 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         suffixes = pairs.join(groups.select("a", "b", "rank"), ["a", "b"]).select("doc_id", "doc", "at", "rank", "filled")
         depth += step
     kept = groups.where(F.col("any") > 0).select("rank", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"))
-    return suffixes.join(kept, "rank").where("doc <> first_doc OR at <> first_at").select("doc", "at")
+    windows = suffixes.join(kept, "rank").where("doc <> first_doc OR at <> first_at").select("doc", "at", F.lit(min_lines).alias("n"))
+    return windows.unionByName(singles) if long_words else windows
 
 
-def remove_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def remove_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """docs with the text that is left, and gone: positions of deleted lines, in order."""
-    windows = later_copies(docs.select("doc_id", "text"), min_lines)
-    gone = windows.select("doc", F.explode(F.sequence(F.col("at"), F.col("at") + min_lines - 1)).alias("line")).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    windows = later_copies(docs.select("doc_id", "text"), min_lines, long_words)
+    gone = windows.select("doc", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("line")).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("gone"))
     gone = materialise(gone, "lines-gone")
     none = F.array().cast("array<int>")
     marked = maybe_in(docs.withColumn("__doc", F.coalesce(document(), F.lit(""))), F.col("__doc"), gone, "doc", MAP_BITS)
@@ -78,15 +87,20 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", n.cast("long").alias("n_lines"), F.size("__gone").cast("long").alias("n_removed"), runs.cast("long").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, long_words: int | None = None) -> DataFrame:
     """Pipeline stage: texts without later copies of runs; documents of which nothing is left go. n_chars follows."""
-    out = remove_lines(docs)
+    out = remove_lines(docs, long_words=long_words)
     cut = F.size("__gone") > 0
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.where(~cut | (F.length(F.trim("text")) > 0)).select(*docs.columns)
 
 
+def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same, with single lines of LONG_WORDS words or more."""
+    return stage(spark, docs, sf_dir, LONG_WORDS)
+
+
 ORACLE = """
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos
            FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE text IS NOT NULL),

@@ -201,6 +201,17 @@ def test_lines(spark, docs, texts, empty):
     assert len({r.text for r in lines.remove_lines(spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "x\na\nb\nc"), (3, "a\nb")], "doc_id long, text string"), 3).collect()}) == 3
 
 
+def test_long_single_lines(spark):
+    long, short = prose(50), prose(49)
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd\n{long}"), (3, f"e\n{short}\nf"), (4, f"g\n{short}\nh"), (5, f"  {long}"), (6, None), (7, long)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "").collect()}
+    want = dict(rows[:6]) | {2: "c\nd"}
+    assert {i: r.text for i, r in out.items()} == want
+    assert out[2].n_chars == 3
+    assert {r.text for r in lines.stage(spark, docs, "").collect()} == {t for _, t in rows}
+
+
 def test_packing(docs, texts, empty):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     out = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
