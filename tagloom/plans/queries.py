@@ -215,7 +215,7 @@ def time_band_join(spark, sf_dir):
 
 
 def dedupe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = fx.track_rows(spark, sf_dir).where("ord % 5 = 0")
+    r = fx.track_rows(spark, sf_dir)
     return r.select("ord", "filename", "frame_timestamp", "x_min", "y_min", "x_max", "y_max", "product_name", "price_default", F.lit("").alias("price_card"), "barcode", F.lit("").alias("qr_code_barcode"), F.lit("").alias("id_sku"), F.lit("").alias("code"), F.col("text").alias("best_text"), F.lower(F.lpad(F.hex(F.col("cents") * 2654435761), 16, "0")).alias("visual_hash"))
 
 
