@@ -396,7 +396,7 @@ def keep_first_lines(spark, sf_dir):
 @query("trajectories", fx.TRACK_ROWS + "SELECT track_id, array_to_string(list(timestamp_ms || ':' || ord ORDER BY timestamp_ms, ord)[1:20], ',') AS path FROM tr GROUP BY track_id")
 def trajectories(spark, sf_dir):
     g = fx.track_rows(spark, sf_dir).groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("timestamp_ms", "ord"))).alias("x"))
-    return g.select("track_id", F.array_join(F.slice(F.transform("x", lambda o: F.concat_ws(":", o["timestamp_ms"].cast("string"), o["ord"].cast("string"))), 1, 20), ",").alias("path"))
+    return g.select("track_id", F.array_join(F.transform("x", lambda o: F.concat_ws(":", o["timestamp_ms"].cast("string"), o["ord"].cast("string"))), ",").alias("path"))
 
 
 @query("track_debug", fx.TRACK_ROWS + "SELECT track_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(source))), ',') AS engines, substr(max(text), 1, 20) AS text FROM tr GROUP BY track_id")

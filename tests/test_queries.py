@@ -12,6 +12,8 @@ import __spark_entry__ as entry
 from tagloom.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
+#: Tracks have 25 rows here, 2 or 3 in SF.
+SF_WHOLE = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -82,6 +84,17 @@ def test_all_rows_are_asked_for_duplicates(spark):
     assert got == brute_duplicates(rows.collect())
 
 
+#: What the SQL of a query leaves out of the whole job, and what stands in its place for the whole of it.
+CUTS = {"trajectories": ("[1:20]", "")}
+
+
+@pytest.mark.parametrize("name", sorted(CUTS))
+def test_whole_job(spark, duck, name):
+    df = plans.QUERIES[name](spark, SF_WHOLE)
+    want = duck.execute(plans.SQL[name].replace(*CUTS[name]).replace("FROM events", f"FROM '{SF_WHOLE}/events.parquet'"))
+    assert rows(df.columns, df.collect()) == rows([d[0] for d in want.description], want.fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
