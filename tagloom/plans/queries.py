@@ -53,7 +53,7 @@ def video_meta(spark, sf_dir):
 @query("frame_lookup", FRAMES + """, q AS (SELECT DISTINCT 'v' || (user_id % 12) || '.mp4' AS filename, event_id * 37 % 40000 AS ts FROM events WHERE event_id % 10 = 0)
 SELECT filename, ts, arg_min(timestamp_ms, (abs(timestamp_ms - ts), timestamp_ms)) AS frame_ts FROM q JOIN fr USING (filename) GROUP BY filename, ts""")
 def frame_lookup(spark, sf_dir):
-    asked = fx.read(spark, sf_dir, "events").where("event_id % 10 = 0").selectExpr("concat('v', user_id % 12, '.mp4') AS filename", "event_id * 37 % 40000 AS ts").distinct()
+    asked = fx.read(spark, sf_dir, "events").selectExpr("concat('v', user_id % 12, '.mp4') AS filename", "event_id * 37 % 40000 AS ts").distinct()
     return tables.nearest_frame(asked, frames(spark, sf_dir))
 
 
@@ -117,7 +117,7 @@ GATE = fx.TRACK_ROWS + """, g AS (SELECT track_id, max(CASE WHEN barcode <> '' T
 @query("source_gate", GATE + """SELECT track_id FROM g WHERE list_contains(sources, 'yolo') OR NOT list_has_any(sources, ['heuristic', 'red_white_tag', 'qr_seed', 'color_geometry'])
  OR coalesce(barcode, '') <> '' OR (product_name IS NOT NULL AND coalesce(price, '') <> '') OR (n >= 20 AND (product_name IS NOT NULL OR coalesce(price, '') <> ''))""")
 def source_gate(spark, sf_dir):
-    r = fx.track_rows(spark, sf_dir).where("ord % 9 < 3")
+    r = fx.track_rows(spark, sf_dir)
     g = r.groupBy("track_id").agg(
         F.max(F.when(F.col("barcode") != "", F.col("barcode"))).alias("barcode"),
         F.max(F.when(~F.col("product_name").isin("", "нет", "νες") & (F.col("track_id") % 2 == 0), F.col("product_name"))).alias("product_name"),
