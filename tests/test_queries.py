@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tagloom.plans import fixtures as fx
 from tagloom.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -76,6 +77,13 @@ def test_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).count() >= 0
 
 
+def test_all_detections_are_truth(spark):
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    met = plans.greedy_match(spark, SF)
+    assert fx.truth(spark, SF).count() == met.count() + plans.unmatched_truth(spark, SF).count() == n
+    assert plans.evaluation_summary(spark, SF).where(f"gt_rows = {n}").count() > 0
+
+
 def test_all_rows_are_asked_for_duplicates(spark):
     rows = plans.dedupe_rows(spark, SF)
     n = spark.read.parquet(f"{SF}/events.parquet").count()
@@ -86,6 +94,7 @@ def test_all_rows_are_asked_for_duplicates(spark):
 
 #: What the SQL of a query leaves out of the whole job, and what stands in its place for the whole of it.
 CUTS = {"frame_lookup": (" WHERE event_id % 10 = 0", ""), "source_gate": (" WHERE ord % 9 < 3", ""), "trajectories": ("[1:20]", "")}
+CUTS |= {name: ("ord % 3 = 0", "TRUE") for name in ("detector_misses", "detector_recall", "row_similarity")}
 
 
 @pytest.mark.parametrize("name", sorted(CUTS))
