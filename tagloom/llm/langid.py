@@ -4,7 +4,8 @@ Each language has a codeword; a binary classifier over character n-grams predict
 codeword of least loss, each bit's loss weighted by that classifier's margin (exponential loss of the signed margin,
 bits weighted by their accuracy on the learning rows). Texts whose two nearest codewords lie close are flagged.
 
-Learned from a bounded sample of labelled rows (SAMPLE); predictions cover every whole text. A word's classifier
+Learned from a bounded sample of labelled rows (SAMPLE, dealt evenly to the languages, so that a rare one is learned
+too); predictions cover every whole text. A word's classifier
 outputs are computed once for each distinct word and summed over the text.
 
 Defined cases: a null text or one without any letter is `und` with score 0; null labels aren't learned from; with a
@@ -14,6 +15,7 @@ repeated results; only the named columns are read.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import zlib
 from collections import Counter
@@ -118,10 +120,24 @@ def word_table(model: Model) -> WordTable:
     return WordTable(row, model.code.shape[1] + 1)
 
 
+def quotas(counts: dict[str, int], sample: int) -> dict[str, int]:
+    """Rows of each language: even shares, and what small languages leave goes to the others."""
+    out, left = {}, sample
+    for i, (name, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(n, max(1, left // (len(counts) - i)))
+        left -= out[name]
+    return out
+
+
 def learn(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Fit on the whole texts of at most `sample` rows with text and lang."""
-    rows = bounded_sample(docs.where("text IS NOT NULL AND lang IS NOT NULL").select(key, "text", "lang"), key, sample).toPandas()
-    return fit(rows.text.tolist(), rows.lang.tolist())
+    """Fit on the whole texts of at most `sample` rows (or one for each language, if those are more) with text and lang."""
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(key, "text", "lang")
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a number for each language
+    if not counts:
+        return fit([], [])
+    parts = [bounded_sample(rows.where(F.col("lang") == name), key, n) for name, n in sorted(quotas(counts, sample).items())]
+    found = functools.reduce(DataFrame.unionByName, parts).toPandas().sort_values([key, "lang"], kind="stable")
+    return fit(found.text.tolist(), found.lang.tolist())
 
 
 def predict(docs: DataFrame, model: Model, more: list[str]) -> DataFrame:

@@ -7,15 +7,17 @@ from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
+import regex
 
-#: Letters of any script, in a row.
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters of any script, in a row; the quick pattern also takes numerals such as fractions, which are rare.
+LETTERS, QUICK = regex.compile(r"\p{L}+"), re.compile(r"[^\W\d_]+")
 #: Words a worker keeps; it starts anew beyond that.
 KEEP = 250_000
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    found = QUICK.findall(text.lower())
+    return found if all(map(str.isalpha, found)) else [x for w in found for x in LETTERS.findall(w)]
 
 
 def grams(word: str, least: int, most: int) -> list[str]:

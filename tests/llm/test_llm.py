@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -31,7 +32,7 @@ def corpus():
     passage, rows = prose(110), []
     rows += base + base[:5] + [x + " tail" for x in base[3:9]] + [" ".join(w if i % 40 else "new" for i, w in enumerate(x.split())) for x in base[8:14]]
     rows += [prose(40) + "\n" + passage + "\n" + prose(30) for _ in range(5)] + [prose(9) + "\nsame line\nother line\n" + prose(9) for _ in range(4)]
-    rows += [None, "", " \n\t ", "a", "a b c d", "a b c d", "é" * 300 + "è" * 300, "12 34 !!", prose(4000), "x" * 3000, "x" * 3000, "<|endoftext|> 'S it's Σς 京都"]
+    rows += [None, "", " \n\t ", "a", "a b c d", "a b c d", "é" * 300 + "è" * 300, "12 34 !!", prose(4000), "x" * 3000, "x" * 3000, "<|endoftext|> 'S it's Σς 京都", "½ ² Ⅷ ① ٣"]
     return list(enumerate(rows))
 
 
@@ -264,10 +265,11 @@ def test_langid_held_out(spark, docs, empty):
     assert sum(r.lang_pred == r.lang for r in rows) > 0.95 * len(rows)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     out = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.learn(docs), ["doc_id"]).collect()}
-    odd = {i for i, t in corpus() if not re.search(r"[^\W\d_]", t or "")}
+    odd = {i for i, t in corpus() if not any(unicodedata.category(c)[0] == "L" for c in t or "")}
     assert {i for i, p in out.items() if p == "und"} == odd
     assert langid.predict(empty, langid.learn(empty), ["doc_id"]).count() == 0
     assert {r.lang_pred for r in langid.predict(docs, langid.learn(empty), ["doc_id"]).collect()} == {"und"}
+    assert langid.quotas({"a": 5, "b": 1000, "c": 2000}, 300) == {"a": 5, "b": 147, "c": 148}
     code = langid.codewords(9)
     assert min((code[i] != code[j]).sum() for i in range(9) for j in range(i)) >= 5
 
@@ -279,7 +281,12 @@ def test_toxicity_held_out(spark, docs, empty):
     assert sum(r.predicted for r in rows if not r.toxic) <= 0.02 * len(rows)
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.learn(docs, none)
-    assert {r.score for r in toxicity.predict(docs, model, ["doc_id"]).collect()} <= {0.0, 0.5}
+    assert {(r.score, r.predicted) for r in toxicity.predict(docs, model, ["doc_id"]).collect()} == {(0.0, 0)}
+    some = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))  # rows of one doc_id among them
+    model = toxicity.learn(some, some.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    out = toxicity.predict(docs, model, ["doc_id"]).collect()
+    assert len(out) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out)
+    assert {r.predicted for r in out if r.doc_id is not None and not re.search(r"[^\W\d_]", dict(corpus())[r.doc_id] or "")} == {0}
     assert toxicity.predict(empty, model, ["doc_id"]).count() == 0
 
 
