@@ -95,6 +95,11 @@ def slices(batch: pa.RecordBatch, text_column: int, rows: int, size: int) -> Ite
         at = end
 
 
+def bits_for(keys: DataFrame) -> int:
+    """Size of a bit map of these rows: 16 bits or more a row, within 128 KB and 32 MB. Beyond that it sorts out less, but loses nothing."""
+    return 1 << min(max((16 * keys.count()).bit_length(), 20), 28)
+
+
 def bit_of(key: Column, bits: int) -> Column:
     """The place of a key in a bit map of fixed size."""
     return F.pmod(F.xxhash64(key), F.lit(bits))

@@ -19,8 +19,8 @@ import tempfile
 
 import numpy as np
 
-#: Entries that a queue holds in memory before it appends to files.
-IN_MEMORY = 24_000_000
+#: Entries that a queue holds in memory before it appends to files; a full shard has some millions.
+IN_MEMORY = 500_000
 #: Strings of names up to this length are sorted directly.
 BASE = 16_000_000
 

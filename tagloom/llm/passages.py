@@ -1,12 +1,17 @@
 """Operator 6: removal of passages that repeat, byte by byte, by suffix sorting.
 
-Every window of SPAN bytes that also starts elsewhere is covered. Windows can only repeat under a common anchor
-(anchors.py), so the runs of windows whose anchor and side occur once are left out; the others, equal ones once, are
-dealt by anchor to shards of bounded size, and each shard is suffix-sorted by external induced sorting with common-prefix values
-(induced.py). Neighbours with a common prefix of SPAN bytes are repeats. A run of windows that occurs twice as a whole repeats
-as a whole. Keys with more distinct runs than a shard holds are settled window by window, by hash, without skew.
-
-Texts that occur more than once are looked at once; all of their bytes go if there are SPAN of them. Texts are told
+Every window of FAR bytes that also starts elsewhere is covered and goes. Besides, windows of NEAR bytes that also start
+elsewhere are followed, and what they cover in one piece counts as a passage if it holds WORDS words: shared passages of
+some fifty words are shorter than FAR bytes. op6 reports those, the pipeline's stage removes them too.
+
+Windows of NEAR bytes can only repeat under a common anchor (anchors.py), so runs of windows whose anchor and side occur
+once are left out; the others, equal ones once, with what a window of FAR bytes needs behind them, are dealt by anchor to
+shards of bounded size. Each shard is suffix-sorted by external induced sorting with common-prefix values (induced.py),
+whose queue goes to disk; neighbours with a common prefix of NEAR or FAR bytes are repeats. A run that occurs twice as a
+whole repeats as a whole, without a sort. A key whose distinct runs exceed a shard can't be sorted in one task: its
+windows are named by 128-bit hashes and counted, without skew.
+
+Texts that occur more than once are looked at once; all of their bytes go if there are FAR of them. Texts are told
 apart by MD5, equal runs and windows by 128 bits of hash.
 
 Defined cases: null and empty texts have no bytes, are never removed from, and keep the digest of nothing; rows of one
@@ -17,6 +22,8 @@ are read. Texts of any length are worked through in parts.
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import SPAN, windows
-from .common import bit_array, give_back, has_bit, materialise, maybe_in, slices, table, text_buffers, tidy
+from .anchors import windows
+from .common import bit_array, bits_for, give_back, has_bit, materialise, maybe_in, slices, table, text_buffers, tidy
 from .induced import suffix_order
 
-MAP_BITS, KEY_BITS = 1 << 24, 1 << 27
+#: Bytes of the windows that are followed and of those that are removed; words of a passage.
+NEAR, FAR, WORDS = 240, 400, 50
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes of a shard, about; and of the distinct runs of one key that still go to a shard.
-SHARD, HOT = 2_000_000, 2_000_000
+SHARD, HOT = 4_000_000, 4_000_000
 #: Bytes of text that a worker looks at at once.
 PART = 250_000
 BREAK = np.array([255], np.uint8)  # between runs; no byte of UTF-8
@@ -46,11 +55,11 @@ def print_of(text: str = "text") -> Column:
 def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rid, text) of every distinct text, and rid of those that occur more than once.
 
-    Texts that may be copies, by a map of fixed size, are summed up by print before they are shuffled; the others stay where they are.
+    Texts that may be copies, by a bit map, are summed up by print before they are shuffled; the others stay where they are.
     """
-    rows = docs.where(F.octet_length("text") >= SPAN).select(print_of().alias("rid"), "text")
+    rows = docs.where(F.octet_length("text") >= NEAR).select(print_of().alias("rid"), "text")
     copies = materialise(rows.groupBy("rid").count().where("count > 1").select("rid"), "passages-copies")
-    marked = maybe_in(rows, F.col("rid"), copies, "rid", MAP_BITS)
+    marked = maybe_in(rows, F.col("rid"), copies, "rid", bits_for(copies))
     once = marked.where("maybe").groupBy("rid").agg(F.first("text").alias("text"))
     return marked.where("NOT maybe").select("rid", "text").unionByName(materialise(once, "passages-once")), copies
 
@@ -58,11 +67,11 @@ def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def part_windows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[dict, np.ndarray]]:
     """Runs of windows of texts that lie end to end; long data in parts that overlap by a window."""
     if len(data) <= 2 * PART:
-        yield windows(data, offsets), data
+        yield windows(data, offsets, NEAR), data
         return
     for at in range(0, len(data), PART):  # one long text
-        piece = data[at : at + PART + SPAN - 1]
-        w = windows(piece, np.array([0, len(piece)]))
+        piece = data[at : at + PART + NEAR - 1]
+        w = windows(piece, np.array([0, len(piece)]), NEAR)
         yield {k: v + at if k in ("first", "last") else v for k, v in w.items()}, data
 
 
@@ -79,8 +88,12 @@ def run_keys(texts: DataFrame) -> DataFrame:
 
 
 def candidate_runs(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, sid (128 bits of the bytes), rid, start and number of windows, bytes (of the first such run in a task) of runs whose key may repeat."""
-    held = texts.sparkSession.sparkContext.broadcast(bit_array(keys, "key", KEY_BITS))
+    """key, sid (128 bits of the bytes), rid, start and number of windows, bytes (of the first such run in a task) of runs whose key may repeat.
+
+    The bytes go on behind the last window as far as a window of FAR bytes that starts there, or to the text's end.
+    """
+    size = bits_for(keys)
+    held = texts.sparkSession.sparkContext.broadcast(bit_array(keys, "key", size))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, sent = held.value, set()
@@ -89,11 +102,12 @@ def candidate_runs(texts: DataFrame, keys: DataFrame) -> DataFrame:
                 data, offsets = text_buffers(part.column(1))
                 rids = part.column(0).to_pylist()
                 for w, data in part_windows(data, offsets):
-                    keep = np.flatnonzero(has_bit(bits, spark_hash(w["key"]) & (KEY_BITS - 1)))
+                    keep = np.flatnonzero(has_bit(bits, spark_hash(w["key"]) & (size - 1)))
                     cols = {k: [] for k in ("sid", "rid", "start", "windows", "bytes")}
-                    for t, a, b in zip(w["text"][keep].tolist(), w["first"][keep].tolist(), w["last"][keep].tolist(), strict=True):
-                        raw = data[a : b + SPAN].tobytes()
-                        sid = hashlib.blake2b(raw, digest_size=16).digest()
+                    ends = np.minimum(w["last"][keep] + FAR, offsets[w["text"][keep] + 1])
+                    for t, a, b, e in zip(w["text"][keep].tolist(), w["first"][keep].tolist(), w["last"][keep].tolist(), ends.tolist(), strict=True):
+                        raw = data[a:e].tobytes()
+                        sid = hashlib.blake2b(raw, digest_size=16, salt=(b - a).to_bytes(8)).digest()
                         cols["sid"].append(sid)
                         cols["rid"].append(rids[t])
                         cols["start"].append(a - int(offsets[t]))
@@ -121,16 +135,29 @@ def spark_hash(x: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def repeats_in(runs: list[np.ndarray], counts: np.ndarray, whole: np.ndarray) -> list[np.ndarray]:
-    """For each run of bytes: whether each of its first `counts` windows starts anywhere else among them, or the run occurs twice as a whole."""
+def repeats_in(runs: list[np.ndarray], counts: np.ndarray, whole: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each run of bytes: whether each of its first `counts` windows of NEAR bytes starts anywhere else among them, or
+    the run occurs twice as a whole; and the same for the windows of FAR bytes that start there."""
     offs = np.cumsum([0, *(len(r) + 1 for r in runs)])
     text = np.concatenate([x for r in runs for x in (r, BREAK)])
-    order, common = suffix_order(text, SPAN)
-    hit = np.zeros(len(text), bool)
-    same = np.flatnonzero(common >= SPAN)
-    hit[order[same]] = True
-    hit[order[same - 1]] = True
-    return [hit[a : a + n] | w for a, n, w in zip(offs[:-1].tolist(), counts.tolist(), whole.tolist(), strict=True)]
+    order, common = suffix_order(text, FAR)
+    starts = np.zeros(len(text), bool)
+    for a, n in zip(offs[:-1].tolist(), counts.tolist(), strict=True):
+        starts[a : a + n] = True  # what stands behind them may belong to other runs of the same text, too
+    hits = []
+    for span in (NEAR, FAR):
+        group = np.cumsum(common < span)  # intervals of suffixes with so many bytes in common
+        hit = np.zeros(len(text), bool)
+        hit[order] = np.bincount(group[starts[order]], minlength=int(group[-1]) + 1)[group] > 1
+        hits.append(hit)
+    near, far = hits
+    # windows of FAR bytes that reach beyond their run are none
+    return [(near[a : a + n] | w, (far[a : a + n] | w)[: max(0, b - a - FAR)]) for a, b, n, w in zip(offs[:-1].tolist(), offs[1:].tolist(), counts.tolist(), whole.tolist(), strict=True)]
+
+
+def whole_run(windows_: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a run of so many windows and bytes that occurs twice as a whole."""
+    return np.ones(windows_, bool), np.ones(min(windows_, max(0, size - FAR + 1)), bool)
 
 
 def intervals(hit: np.ndarray) -> list[dict]:
@@ -139,22 +166,35 @@ def intervals(hit: np.ndarray) -> list[dict]:
     return [{"a": int(a), "z": int(z)} for a, z in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1, strict=True)]
 
 
-HITS = pa.schema([("sid", pa.binary()), ("hits", pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))])
+SOME = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
+HITS = pa.schema([("sid", pa.binary()), ("near", SOME), ("far", SOME)])
+HITS_TYPE = "sid binary, near array<struct<a:int,z:int>>, far array<struct<a:int,z:int>>"
 
 
 def shard_hits(work: DataFrame, shards: int) -> DataFrame:
-    """sid and repeating windows (first, last) for distinct runs dealt to shards."""
+    """sid and repeating windows (first, last) of NEAR and of FAR bytes, for distinct runs dealt to shards by key."""
 
     def one(tab: pa.Table) -> pa.Table:
-        runs = [np.frombuffer(x.as_buffer(), np.uint8) for x in tab["bytes"]]
-        found = repeats_in(runs, np.asarray(tab["windows"]), np.asarray(tab["n"]) > 1)
-        out = pa.Table.from_pylist([{"sid": s, "hits": intervals(h)} for s, h in zip(tab["sid"].to_pylist(), found, strict=True) if h.any()], HITS)
-        del runs, found
+        keys, n = tab["key"].to_pylist(), np.asarray(tab["n"])
+        kinds = Counter(keys)
+        several = np.array([kinds[k] > 1 for k in keys])
+        counts, found = np.asarray(tab["windows"]), {}
+        sizes = [len(x.as_buffer()) for x in tab["bytes"]]
+        for i in np.flatnonzero(~several & (n > 1)).tolist():
+            found[i] = whole_run(int(counts[i]), sizes[i])
+        if several.any():
+            some = np.flatnonzero(several)
+            runs = [np.frombuffer(tab["bytes"][i].as_buffer(), np.uint8) for i in some.tolist()]
+            found |= dict(zip(some.tolist(), repeats_in(runs, counts[some], n[some] > 1), strict=True))
+            del runs
+        sids = tab["sid"].to_pylist()
+        out = pa.Table.from_pylist([{"sid": sids[i], "near": intervals(near), "far": intervals(far)} for i, (near, far) in sorted(found.items()) if near.any()], HITS)
+        del found
         give_back()
         return out
 
     dealt = work.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shards)))
-    return dealt.select("shard", "sid", "windows", "n", "bytes").groupBy("shard").applyInArrow(one, "sid binary, hits array<struct<a:int,z:int>>")
+    return dealt.select("shard", "key", "sid", "windows", "n", "bytes").groupBy("shard").applyInArrow(one, HITS_TYPE)
 
 
 def window_hits(hot: DataFrame) -> DataFrame:
@@ -163,43 +203,44 @@ def window_hits(hot: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sid, n, k, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                names = [hashlib.blake2b(raw[i : i + SPAN], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([sid] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([k] * n, pa.int64()), pa.array(names, pa.binary())], names=["sid", "i", "n", "name"])
+                for far, span in ((False, NEAR), (True, FAR)):
+                    m = min(n, max(0, len(raw) - span + 1))
+                    names = [hashlib.blake2b(raw[i : i + span], digest_size=16, salt=bytes([far])).digest() for i in range(m)]
+                    yield pa.RecordBatch.from_arrays([pa.array([sid] * m, pa.binary()), pa.array(range(m), pa.int32()), pa.array([k] * m, pa.int64()), pa.array([far] * m, pa.bool_()), pa.array(names, pa.binary())], names=["sid", "i", "n", "far", "name"])
 
-    found = materialise(hot.select("sid", "windows", "n", "bytes").mapInArrow(tidy(run), "sid binary, i int, n long, name binary"), "passages-windows")
+    found = materialise(hot.select("sid", "windows", "n", "bytes").mapInArrow(tidy(run), "sid binary, i int, n long, far boolean, name binary"), "passages-windows")
     twice = found.groupBy("name").agg(F.sum("n").alias("times")).where("times > 1").select("name")
-    hits = found.join(twice, "name").groupBy("sid").agg(F.array_sort(F.collect_list("i")).alias("at"))  # a run's windows: some hundreds
-    return hits.select("sid", F.transform("at", lambda i: F.struct(i.alias("a"), i.alias("z"))).alias("hits"))
+    at = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(kind, F.col("i")))), lambda i: F.struct(i.alias("a"), i.alias("z")))
+    return found.join(twice, "name").groupBy("sid").agg(at(~F.col("far")).alias("near"), at(F.col("far")).alias("far"))  # a run's windows: some hundreds
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """rid and the byte spans (b, e; in order, not merged) that repeats cover, for each text with any."""
+    """rid and the byte spans (b, e; in order, not merged) that repeats of NEAR and of FAR bytes cover, for each text with any; null for all of the text."""
     texts, copies = distinct_texts(docs)
     keys = materialise(run_keys(texts), "passages-keys")
     runs = materialise(candidate_runs(texts, keys), "passages-runs")
     distinct = runs.groupBy("sid").agg(F.first("key").alias("key"), F.count("*").alias("n"), F.first("windows").alias("windows"), F.first("bytes", ignorenulls=True).alias("bytes"))
     distinct = materialise(distinct, "passages-distinct")
-    sizes = distinct.groupBy("key").agg(F.sum("n").alias("times"), F.count("*").alias("kinds"), F.sum(F.octet_length("bytes")).alias("size")).where("times > 1")
-    sizes = materialise(sizes, "passages-sizes")
-    work = distinct.join(sizes, "key")
-    alone = work.where("kinds = 1").select("sid", F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).alias("z"))).alias("hits"))
-    total, hot = sizes.where("kinds > 1").agg(F.sum(F.when(F.col("size") <= HOT, F.col("size"))), F.max("size")).first()
-    hits = alone
-    if total:
-        hits = hits.unionByName(shard_hits(work.where((F.col("kinds") > 1) & (F.col("size") <= HOT)), max(1, -(-int(total) // SHARD))))
-    if hot and hot > HOT:
-        hits = hits.unionByName(window_hits(work.where(F.col("size") > HOT)))
+    size = F.octet_length("bytes").cast("long")
+    hot = materialise(distinct.select("key", size.alias("size")).groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") > HOT).select("key"), "passages-hot")
+    total = distinct.agg(F.sum(size)).first()[0]
+    rest = distinct if hot.isEmpty() else distinct.join(hot, "key", "left_anti")
+    hits = shard_hits(rest, max(1, -(-int(total or 0) // SHARD)))
+    if not hot.isEmpty():
+        hits = hits.unionByName(window_hits(distinct.join(hot, "key", "left_semi")))
     hits = materialise(hits, "passages-hits")
-    spans = runs.select("sid", "rid", "start").join(hits, "sid").select("rid", F.explode(F.transform("hits", lambda h: F.struct((F.col("start") + h["a"]).alias("b"), (F.col("start") + h["z"] + SPAN).alias("e")))).alias("s"))
-    per_text = spans.groupBy("rid").agg(F.array_sort(F.collect_list("s")).alias("spans"))
-    whole = copies.select("rid", F.lit(None).cast(SPAN_TYPE).alias("spans"))  # all of it
+    span = lambda name, far, size: F.transform(name, lambda h: F.struct((F.col("start") + h["a"]).alias("b"), (F.col("start") + h["z"] + size).alias("e"), F.lit(far).alias("far")))
+    spans = runs.select("sid", "rid", "start").join(hits, "sid").select("rid", F.explode(F.concat(span("near", False, NEAR), span("far", True, FAR))).alias("s"))
+    of = lambda kind: F.array_sort(F.collect_list(F.when(kind, F.struct("s.b", "s.e"))))
+    per_text = spans.groupBy("rid").agg(of(~F.col("s.far")).alias("near"), of(F.col("s.far")).alias("far"))
+    whole = copies.select("rid", *(F.lit(None).cast(SPAN_TYPE).alias(c) for c in ("near", "far")))  # all of it
     return per_text.join(copies, "rid", "left_anti").unionByName(whole)
 
 
-def merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
-    """Maximal runs of covered bytes; None: everything."""
+def merged(spans: list[dict] | None, size: int, least: int = 0) -> list[tuple[int, int]]:
+    """Maximal runs of covered bytes; None: everything, if it is at least so long."""
     if spans is None:
-        return [(0, size)]
+        return [(0, size)] if size >= least else []
     out: list[list[int]] = []
     for s in spans:
         if out and s["b"] <= out[-1][1]:
@@ -209,21 +250,27 @@ def merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
     return [(b, e) for b, e in out]
 
 
+def passages_of(raw: bytes, near: list[dict] | None) -> list[tuple[int, int]]:
+    """Maximal runs of bytes that repeats of NEAR bytes cover and that hold WORDS words."""
+    return [(b, e) for b, e in merged(near, len(raw), NEAR) if len(WORD.findall(raw, b, e)) >= WORDS]
+
+
 def cut(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     ends = [0, *(e for _, e in runs)]
     return b"".join([raw[a:b] for a, b in zip(ends, [*(b for b, _ in runs), len(raw)], strict=True)])
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs that have no spans, and those that have, with a column `__spans`. The map of fixed size spares most texts the shuffle."""
-    marked = maybe_in(docs.withColumn("__rid", print_of()), F.coalesce("__rid", F.lit(b"")), spans, "rid", MAP_BITS)
-    marked = marked.withColumn("maybe", F.col("maybe") & (F.octet_length("text") >= SPAN))
-    some = marked.where("maybe").join(spans.select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans"), F.lit(True).alias("__any")), "__rid", "left")
-    return marked.where("NOT coalesce(maybe, false)").select(*docs.columns), some.select(*docs.columns, "__spans", F.coalesce("__any", F.lit(False)).alias("__any"))
+    """Rows of docs that have no spans, and those that have, with columns `__near`, `__far` and `__any`. A bit map spares most texts the shuffle."""
+    marked = maybe_in(docs.withColumn("__rid", print_of()), F.coalesce("__rid", F.lit(b"")), spans, "rid", bits_for(spans))
+    marked = marked.withColumn("maybe", F.col("maybe") & (F.octet_length("text") >= NEAR))
+    found = spans.select(F.col("rid").alias("__rid"), F.col("near").alias("__near"), F.col("far").alias("__far"), F.lit(True).alias("__any"))
+    some = marked.where("maybe").join(found, "__rid", "left")
+    return marked.where("NOT coalesce(maybe, false)").select(*docs.columns), some.select(*docs.columns, "__near", "__far", F.coalesce("__any", F.lit(False)).alias("__any"))
 
 
 def remove_passages(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 and runs (first byte, end) for each row of docs."""
+    """key, n_bytes, n_removed, n_spans, kept_sha256, word_passages (number of passages of WORDS words that repeat) and runs (first byte, end) for each row of docs."""
     docs = docs.select(key, "text")
     spans = materialise(covered(docs), "passages-spans")
     none, some = with_spans(docs, spans)
@@ -232,36 +279,52 @@ def remove_passages(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, found, there in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for text, near, far, there in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
                 raw = text.encode()
-                runs = merged(found, len(raw)) if there else []
-                rows.append((len(raw), sum(e - b for b, e in runs), len(runs), hashlib.sha256(cut(raw, runs)).hexdigest(), [{"b": b, "e": e} for b, e in runs]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "runs"])
+                runs = merged(far, len(raw), FAR) if there else []
+                words = len(passages_of(raw, near)) if there else 0
+                rows.append((len(raw), sum(e - b for b, e in runs), len(runs), hashlib.sha256(cut(raw, runs)).hexdigest(), words, [{"b": b, "e": e} for b, e in runs]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "word_passages", "runs"])
 
     kind = docs.schema[key].dataType.simpleString()
-    cut_ = some.mapInArrow(tidy(run), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs {runs_type}").withColumnRenamed("key", key)
+    cut_ = some.mapInArrow(tidy(run), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, word_passages long, runs {runs_type}").withColumnRenamed("key", key)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     zero = F.lit(0).cast("long")
-    whole = none.select(key, size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), F.array().cast(runs_type).alias("runs"))
+    whole = none.select(key, size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), zero.alias("word_passages"), F.array().cast(runs_type).alias("runs"))
     return whole.unionByName(cut_)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What repeats in 400 bytes or more, removed from all documents."""
+    """What repeats in 400 bytes or more, removed from all documents; word_passages counts repeated passages of 50 words or more, of any number of bytes from 240."""
     return remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("runs")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without the bytes that repeat; a code point of which a byte goes, goes. n_chars follows."""
+    """Pipeline stage: texts without the bytes that repeat in FAR bytes, or in passages of WORDS words; a code point of which a byte goes, goes.
+
+    As in the operator every copy of a passage goes, the first too: what many documents share is boilerplate. Documents of
+    which no word is left go. n_chars follows.
+    """
     spans = materialise(covered(docs.select("text")), "passages-spans")
     none, some = with_spans(docs, spans)
 
     @F.pandas_udf("string")
-    def kept(text, found, there):
-        return text.combine(found, lambda t, s: (t, s)).combine(there, lambda p, ok: cut(p[0].encode(), merged(None if p[1] is None else list(p[1]), len(p[0].encode()))).decode("utf-8", "ignore") if ok else p[0])
-
-    cleaned = some.withColumn("text", kept("text", "__spans", "__any"))
+    def kept(text, near, far, there):
+        def left(t, n, f, ok):
+            if not ok:
+                return t
+            raw = t.encode()
+            n, f = (None if x is None else list(x) for x in (n, f))
+            both = sorted([*merged(f, len(raw), FAR), *passages_of(raw, n)])
+            return cut(raw, merged([{"b": b, "e": e} for b, e in both], len(raw))).decode("utf-8", "ignore")
+
+        return text.__class__([left(*x) for x in zip(text, near, far, there, strict=True)])
+
+    cleaned = materialise(some.withColumn("__text", kept("text", "__near", "__far", "__any")).drop("__near", "__far"), "passages-kept")
+    changed = F.col("__text") != F.col("text")
+    cleaned = cleaned.where(~changed | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
+    cols = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("__any"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return none.unionByName(cleaned.select(*docs.columns))
+        cols["n_chars"] = F.when(changed, F.char_length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return none.unionByName(cleaned.select(*(cols.get(c, F.col(c)).alias(c) for c in docs.columns)))

@@ -145,28 +145,46 @@ def test_near_duplicates_in_large_groups(spark):
 
 
 def brute_passages(rows, n=400):
-    raws, where = [(t or "").encode() for _, t in rows], Counter()
-    for r in raws:
-        where.update(r[i : i + n] for i in range(len(r) - n + 1))
-    out = Counter()
-    for (i, _), r in zip(rows, raws):
-        gone = np.zeros(len(r) + 1, bool)
-        for k in range(len(r) - n + 1):
-            if where[r[k : k + n]] > 1:
-                gone[k : k + n] = True
-        kept = bytes(b for b, g in zip(r, gone) if not g)
-        out[(i, len(r), int(gone.sum()), int((np.diff(np.concatenate([[False], gone]).astype(int)) == 1).sum()), hashlib.sha256(kept).hexdigest())] += 1
-    return out
-
-
-def test_passages(docs, texts, empty, monkeypatch):
-    want = brute_passages(texts)
+    raws = [(t or "").encode() for _, t in rows]
+
+    def covered(n):
+        where = Counter()
+        for r in raws:
+            where.update(r[i : i + n] for i in range(len(r) - n + 1))
+        for r in raws:
+            gone = np.zeros(len(r) + 2, bool)
+            for k in range(len(r) - n + 1):
+                if where[r[k : k + n]] > 1:
+                    gone[k + 1 : k + n + 1] = True
+            edge = np.diff(gone.astype(int))
+            yield gone[1:-1], list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
+
+    out, cleaned = Counter(), []
+    for (i, _), r, (gone, runs), (near, parts) in zip(rows, raws, covered(n), covered(240)):
+        words = [(b, e) for b, e in parts if len(r[b:e].split()) >= 50]
+        out[(i, len(r), int(gone.sum()), len(runs), hashlib.sha256(bytes(np.frombuffer(r, np.uint8)[~gone])).hexdigest(), len(words))] += 1
+        for b, e in words:
+            gone[b:e] = True
+        cleaned.append((i, bytes(np.frombuffer(r, np.uint8)[~gone]).decode("utf-8", "ignore"), bool(gone.any())))
+    return out, cleaned
+
+
+SHORT = " ".join(random.Random(5).choice([w for w in WORDS if len(w) < 7]) for _ in range(57))
+
+
+def test_passages(spark, docs, texts, empty, monkeypatch):
+    texts = [*texts, *((100 + k, prose(20) + "\n" + SHORT + "\n" + prose(20 + k)) for k in range(3))]  # passages of less than 400 bytes
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "r", "m", True) for i, t in texts], SCHEMA).repartition(5)
+    want, cleaned = brute_passages(texts)
+    assert sum(n for row, n in want.items() if row[0] in (100, 101, 102) and row[-1] == 1 and row[2] == 0) == 3
     run = lambda: Counter(map(tuple, passages.remove_passages(docs.select("doc_id", "text")).drop("runs").collect()))
     assert run() == want
     monkeypatch.setattr(passages, "SHARD", 5000)
     monkeypatch.setattr(passages, "HOT", 1500)  # window by window
     assert run() == want
     assert passages.remove_passages(empty).count() == 0
+    kept = Counter((r.doc_id, r.text or "", r.n_chars) for r in passages.stage(spark, docs, "").collect())
+    assert kept == Counter((i, t, len(t)) for i, t, cut in cleaned if not cut or t.split())
 
 
 @pytest.mark.parametrize("more", [{}, {"base": 3, "budget": 10}])
