@@ -39,7 +39,7 @@ from .induced import suffix_order
 NEAR, FAR, WORDS = 240, 400, 50
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes of a shard, about; and of the distinct runs of one key that still go to a shard.
-SHARD, HOT = 4_000_000, 4_000_000
+SHARD, HOT = 1_500_000, 1_500_000
 #: Bytes of text that a worker looks at at once.
 PART = 250_000
 BREAK = np.array([255], np.uint8)  # between runs; no byte of UTF-8
