@@ -13,6 +13,7 @@ from ..schema import ABSENT, INFO_WORDS
 PRICE = r"(?<![0-9./-])([0-9]{1,5})\s*[.,]\s*([0-9]{2})(?![0-9./-])"
 PRICE_SPACED = r"(?<![0-9])([0-9]{1,5})\s+([0-9]{2})(?![0-9])"
 PRICE_COMPACT = r"(?<![0-9])([0-9]{3,7})(?![0-9])"
+SOME_PRICE = r"[0-9]\s*[.,]?\s*[0-9]{2}"  # what any of the three has
 UNIT = r"(?iu)(?:л|l|литр|мл|ml|кг|kg|гр|г)(?![а-яa-z])"
 CURRENCY = r"(?iu)(?:руб|₽|коп)"
 ID_LIKE = r"(?iu)(?:штрих|barcode|баркод|артикул|sku|id[_\s-]*sku|qr|код)"
@@ -115,7 +116,7 @@ def matches(text: Column, pattern: str, groups: int) -> Column:
         one = F.struct(a.alias("a"), b.alias("b"), *(z[f"g{i + 1}"].alias(f"g{i + 1}") for i in range(groups)))
         return F.struct(b.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(zipped, start, step, lambda s: s["out"])
+    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step, lambda s: s["out"])).otherwise(start["out"])
 
 
 def around(text: Column, a: Column, b: Column, before: int, after: int) -> Column:
@@ -179,7 +180,8 @@ def product_lines(lines: Column) -> Column:
         digits, letters = F.regexp_count(t, F.lit(r"\p{Nd}")), F.regexp_count(t, F.lit(r"\p{L}"))
         plain = ~t.rlike(NOT_PRODUCT) & ~t.rlike(PRINTED) & ~t.rlike(ZONE)
         cheap = (F.length(t) >= 5) & t.rlike("[А-Яа-яЁё]") & plain & (letters >= 3) & (digits <= F.greatest(F.lit(5), letters))
-        return cheap & (F.size(find_prices(t)) == 0)
+        # most lines have no digits next to each other or in decimals, and so no price
+        return F.when(cheap & t.rlike(SOME_PRICE), F.size(find_prices(t)) == 0).otherwise(cheap)
 
     return let(F.transform(lines, normalize_text), lambda ts: F.filter(ts, ok))
 

@@ -114,9 +114,9 @@ def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRUTH = OBS + """,
-gt AS (SELECT *, filename || ':' || frame_index AS frame FROM obs WHERE ord % 3 = 0),
+gt AS (SELECT *, filename || ':' || frame_index AS frame FROM obs),
 mv AS (SELECT ord * 2 AS ord, filename, frame_index, timestamp_ms, x_min + cents % 9 AS x_min, y_min, x_max + cents % 9 AS x_max, y_max, score, source, cents,
-       filename || ':' || frame_index AS frame FROM obs WHERE ord % 3 = 0 AND ord % 10 <> 0),
+       filename || ':' || frame_index AS frame FROM obs WHERE ord % 10 <> 0),
 pred AS (SELECT * FROM mv UNION ALL SELECT * REPLACE (ord + 1 AS ord) FROM mv WHERE ord % 14 = 0)
 """
 

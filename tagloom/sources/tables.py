@@ -82,9 +82,8 @@ def nearest_frame(asked: DataFrame, frames: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     both = frames.select("filename", F.col("timestamp_ms").alias("t"), F.col("timestamp_ms").alias("f"), F.lit(0).alias("ask")).unionByName(asked.select("filename", F.col("ts").alias("t"), F.lit(None).cast("long").alias("f"), F.lit(1).alias("ask")))
-    order = Window.partitionBy("filename").orderBy("t", "ask")
-    before = F.last("f", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("f", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    running = lambda *order: F.last("f", True).over(Window.partitionBy("filename").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    before, after = running("t", "ask"), running(F.desc("t"), "ask")
     met = both.withColumns({"p": before, "n": after}).where("ask = 1")
     near = F.when(F.col("p").isNull(), F.col("n")).when(F.col("n").isNull(), F.col("p")).when(F.col("t") - F.col("p") <= F.col("n") - F.col("t"), F.col("p")).otherwise(F.col("n"))
     return met.select("filename", F.col("t").alias("ts"), near.alias("frame_ts"))

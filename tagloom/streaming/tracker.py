@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tracking import Track, Tracker, TrackerConfig
+from ..operators.tracking import Track, Tracker, TrackerConfig, identifiers
 
 OUTPUT = "filename string, frame_index long, ord long, track_id long"
 STATE = "last_frame long, next_id long, tracks string"
@@ -25,7 +25,8 @@ def assign(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, confi
     frames = pd.concat(list(batches))
     out = []
     for r in frames[frames.frame_index > last].sort_values("frame_index").itertuples():
-        found = [(d["score"], int(d["ord"]), (d["x_min"], d["y_min"], d["x_max"], d["y_max"]), [[], [], []]) for d in r.detections]
+        dets = [d if isinstance(d, dict) else d.asDict() for d in r.detections]
+        found = [(d["score"], int(d["ord"]), (d["x_min"], d["y_min"], d["x_max"], d["y_max"]), identifiers(d)) for d in dets]
         out += [(key[0], r.frame_index, o, t) for o, t in tracker.step(found).items()]
         last = int(r.frame_index)
     # tracks that can't be continued are kept out of the state; they have been emitted
@@ -35,7 +36,7 @@ def assign(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, confi
 
 
 def track_stream(frames: DataFrame, config: TrackerConfig = TrackerConfig()) -> DataFrame:  # noqa: B008
-    """frames: filename, frame_index, detections (array of ord, score and box sides). A row per detection, with its track."""
+    """frames: filename, frame_index, detections (array of ord, score, box sides and identifiers, if any). A row per detection, with its track."""
     return frames.groupBy("filename").applyInPandasWithState(lambda k, b, s: assign(k, b, s, config), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 

@@ -79,7 +79,9 @@ def test_greedy_match_as_loop(spark):
     for r in gt.orderBy("ord").collect():
         best, top = None, 0.0
         for q in p.get(r.frame, []):
-            i = tracking.iou(tuple(r.box), tuple(q.box))
+            a, b = tuple(r.box), tuple(q.box)
+            both = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+            i = both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both)
             if q.ord not in used and i > top:
                 best, top = q.ord, i
         if best is not None and top >= 0.35:
