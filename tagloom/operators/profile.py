@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +67,23 @@ def evenly_spaced(rows: DataFrame, by: str, ord_: str, k: int, keys: list[str])
     at = rows.withColumn("__i", F.row_number().over(order) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
     steps = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("__n") - 1) / max(1, k - 1)))
     return at.where(F.array_contains(steps, F.col("__i").cast("long"))).drop("__i", "__n")
+
+
+def frame_stats(detections: DataFrame, observed: Column) -> DataFrame:
+    """Detections and observations of each frame, and the detections of its video."""
+    per = detections.groupBy("filename", "frame_index").agg(F.count("*").alias("detections"), F.count_if(observed).alias("observations"))
+    return per.withColumn("total", F.sum("detections").over(Window.partitionBy("filename")))
+
+
+def joined_artifacts(runs: DataFrame, key: str, parts: list[DataFrame]) -> DataFrame:
+    """What each run has of several results; nulls where one is missing."""
+    for part in parts:
+        runs = runs.join(part, key, "left")
+    return runs
+
+
+def diagnostics(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows, rows without evidence and filled fields by keys."""
+    some = [t.filled(F.col(c)) for c in columns]
+    none = ~functools.reduce(Column.__or__, some)
+    return rows.groupBy(*keys).agg(F.count("*").alias("pred"), F.count_if(none).alias("no_evidence"), *(F.count_if(x).alias(c) for c, x in zip(columns, some, strict=True)))

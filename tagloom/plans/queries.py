@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fields, geometry, hashes, images
 from ..functions import payloads as qr
 from ..functions import text as t
-from ..operators import boxes, components, fusion, profile, tracking
+from ..operators import boxes, candidates, components, fusion, profile, runs, tracking
 from ..sources import tables
 from . import fixtures as fx
 
@@ -298,11 +298,15 @@ def representatives(spark, sf_dir):
     return fusion.representatives(rows, ["track_id"], 8.0).select("track_id", "ord")
 
 
-@query("deferred_enrichment", REP + ", r AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY round(s, 9) DESC, ord) = 1) SELECT r.track_id, r.ord, count(o.ord) AS in_frame FROM r JOIN obs o ON o.filename = r.filename AND o.timestamp_ms = r.timestamp_ms WHERE NOT r.has_qr AND r.text = '' GROUP BY r.track_id, r.ord")
+SHORT = REP.replace("FROM tr GROUP BY track_id)", "FROM ts GROUP BY track_id)").replace(", st AS (", ", ts AS (SELECT * REPLACE (ord // 2 AS track_id) FROM tr), st AS (").replace("sc AS (SELECT tr.*,", "sc AS (SELECT ts.*,").replace("FROM tr JOIN st", "FROM ts JOIN st")
+
+
+@query("deferred_enrichment", SHORT + ", r AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY round(s, 9) DESC, ord) = 1) SELECT r.track_id, r.ord, count(o.ord) AS in_frame FROM r JOIN obs o ON o.filename = r.filename AND o.timestamp_ms = r.timestamp_ms WHERE NOT r.has_qr AND r.text = '' GROUP BY r.track_id, r.ord")
 def deferred_enrichment(spark, sf_dir):
-    rep = fusion.representatives(fx.with_box(fx.track_rows(spark, sf_dir)), ["track_id"], 8.0).where("size(payloads) = 0 AND text = ''").select("track_id", "ord", "filename", "timestamp_ms")
-    found = fx.obs(spark, sf_dir).select("filename", "timestamp_ms", F.col("ord").alias("o"))
-    return rep.join(found, ["filename", "timestamp_ms"]).groupBy("track_id", "ord").agg(F.count("o").alias("in_frame"))
+    short = fx.track_rows(spark, sf_dir).withColumn("track_id", F.expr("ord div 2"))
+    rep = fusion.representatives(fx.with_box(short), ["track_id"], 8.0).where("size(payloads) = 0 AND text = ''").select("track_id", "ord", "filename", "timestamp_ms")
+    found = fx.obs(spark, sf_dir).groupBy("filename", "timestamp_ms").agg(F.count("*").alias("in_frame"))
+    return rep.join(found, ["filename", "timestamp_ms"]).select("track_id", "ord", "in_frame")
 
 
 @query("stable_keys", fx.TRACK_ROWS + "SELECT filename, CASE WHEN barcode <> '' THEN 'barcode:' || barcode ELSE '' END AS key, count(*) AS n FROM tr GROUP BY ALL")
@@ -579,3 +583,193 @@ def patch_pixels(spark, sf_dir):
             yield pd.DataFrame({"vec_id": pdf.vec_id, "sharpness": [round(images.sharpness(i), 6) for i in x], "color": [images.classify_color(i) for i in x], "regions": [len(images.color_boxes(i, 3)) for i in x]})
 
     return fx.read(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, sharpness double, color string, regions long")
+
+
+# --- candidates, zones, regions
+
+PANELS = fx.OBS + ", pc AS (SELECT ord, cents, x_min AS x, y_min AS y, x_max - x_min AS w, y_max - y_min AS h FROM obs), cb AS (" + " UNION ALL ".join(
+    f"SELECT ord, cents, {k} AS k, {a} AS x_min, {b} AS y_min, {c} AS x_max, {d} AS y_max FROM pc"
+    for k, (a, b, c, d) in enumerate(
+        [v for m in candidates.PANEL_WIDTHS for v in ((f"x - w * 0.10::DOUBLE", "y - h * 0.06::DOUBLE", f"x + w * {m}::DOUBLE", "y + h * 1.06::DOUBLE"), (f"x - w * {m - 1.0!r}::DOUBLE", "y - h * 0.06::DOUBLE", "x + w * 1.10::DOUBLE", "y + h * 1.06::DOUBLE"))]
+        + [v for m in candidates.STRIP_HEIGHTS for v in (("x - w * 0.06::DOUBLE", "y - h * 0.10::DOUBLE", "x + w * 1.06::DOUBLE", f"y + h * {m}::DOUBLE"), ("x - w * 0.06::DOUBLE", f"y - h * {m - 1.0!r}::DOUBLE", "x + w * 1.06::DOUBLE", "y + h * 1.10::DOUBLE"))]
+    )
+) + ")"
+
+
+def panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = fx.with_box(fx.obs(spark, sf_dir))
+    return o.select("ord", "cents", F.explode(candidates.panel_candidates(F.col("box"))).alias("c")).select("ord", "cents", "c.k", "c.box")
+
+
+@query("panel_candidates", PANELS + "SELECT ord, k, round(x_min, 6) AS x_min, round(y_min, 6) AS y_min, round(x_max, 6) AS x_max, round(y_max, 6) AS y_max FROM cb")
+def panel_candidates(spark, sf_dir):
+    return panels(spark, sf_dir).select("ord", "k", *(F.round(f"box.{c}", 6).alias(c) for c in ("x_min", "y_min", "x_max", "y_max")))
+
+
+@query("candidate_scores", PANELS + """, cl AS (SELECT ord, k, cents, greatest(0, least(3839, x_min)) AS x1, greatest(0, least(2159, y_min)) AS y1, greatest(0, least(3839, x_max)) AS x2, greatest(0, least(2159, y_max)) AS y2 FROM cb),
+m AS (SELECT ord, k, least(x1, x2) AS x1, greatest(x1, x2) - least(x1, x2) AS w, greatest(y1, y2) - least(y1, y2) AS h, (cents % 40) / 100.0::DOUBLE AS red, (cents % 60) / 100.0::DOUBLE AS white, (cents % 11) / 100.0::DOUBLE AS edge FROM cl)
+SELECT ord, k, round(0.45 + 0.18 * least(1.0, red / 0.30) + 0.18 * least(1.0, white / 0.45) + 0.14 * least(1.0, edge / 0.08) + 0.12 * greatest(0.0, 1.0 - abs(w / greatest(1.0, h) - 0.82) / 0.82)
+ + 0.08 * greatest(0.0, 1.0 - abs(w * h / 8294400.0 - 0.0075) / 0.016), 6) AS score FROM m
+WHERE w >= 24 AND h >= 24 AND w / greatest(1.0, h) BETWEEN 0.24 AND 1.85 AND w <= greatest(3840 * 0.18, 260) AND h <= greatest(2160 * 0.32, 260) AND w * h / 8294400.0 >= 0.0008 AND w * h <= greatest(8294400 * 0.05, 60000)
+ AND red >= 0.045 AND white >= 0.16 AND edge >= 0.012""")
+def candidate_scores(spark, sf_dir):
+    w, h = F.lit(3840.0), F.lit(2160.0)
+    red, white, edge = ((F.col("cents") % n).cast("double") / 100.0 for n in (40, 60, 11))
+    c = panels(spark, sf_dir).withColumn("box", geometry.clip(F.col("box"), w, h))
+    return c.where(candidates.red_white_ok(F.col("box"), w, h, red, white, edge)).select("ord", "k", F.round(candidates.red_white_score(F.col("box"), w, h, red, white, edge), 6).alias("score"))
+
+
+@query("colour_candidates", fx.OBS + """, p AS (SELECT ord, cents, x_min, y_min, x_max, y_max, x_max - x_min AS w, y_max - y_min AS h, (x_max - x_min) * (y_max - y_min) * (cents % 10) / 10.0::DOUBLE AS area, (cents % 9) / 100.0::DOUBLE AS edge FROM obs),
+q AS (SELECT *, floor(greatest(14.0, least(110.0, w * 0.70::DOUBLE))) AS px, floor(greatest(12.0, least(115.0, h * 0.85::DOUBLE))) AS py FROM p WHERE area BETWEEN 900 AND 30000 AND w >= 8 AND h >= 8 AND w / greatest(1.0, h) BETWEEN 0.18 AND 6.0 AND area / greatest(1.0, w * h) >= 0.10),
+r AS (SELECT *, greatest(0, least(3839, x_min - px)) AS x1, greatest(0, least(2159, y_min - py)) AS y1, greatest(0, least(3839, x_max + px)) AS x2, greatest(0, least(2159, y_max + py)) AS y2 FROM q)
+SELECT ord, x1, y1, x2, y2, round(0.35 + least(0.45, area / (w * h) * 0.45) + least(0.20, edge), 6) AS score FROM r
+WHERE NOT (cents % 2 = 0 AND edge < 0.02) AND (x2 - x1) * (y2 - y1) <= 8294400 * 0.020 AND x2 - x1 <= 3840 * 0.34 AND y2 - y1 <= 2160 * 0.45""")
+def colour_candidates(spark, sf_dir):
+    o, w, h = fx.with_box(fx.obs(spark, sf_dir)), F.lit(3840.0), F.lit(2160.0)
+    b, edge = F.col("box"), (F.col("cents") % 9).cast("double") / 100.0
+    o = o.withColumn("area", geometry.width(b) * geometry.height(b) * (F.col("cents") % 10) / 10.0).where(candidates.colour_ok(b, F.col("area"), 900, F.lit(30000.0)))
+    o = o.withColumn("fill", F.col("area") / (geometry.width(b) * geometry.height(b))).withColumn("box", candidates.colour_box(b, w, h))
+    o = o.where(candidates.colour_whole_ok(b, w, h, edge, F.col("cents") % 2 == 0))
+    return o.select("ord", F.col("box.x_min").alias("x1"), F.col("box.y_min").alias("y1"), F.col("box.x_max").alias("x2"), F.col("box.y_max").alias("y2"), F.round(candidates.colour_score(F.col("fill"), edge), 6).alias("score"))
+
+
+ZONE_ROWS = ", ".join(f"({i}, '{n}', {a}, {b}, {c}, {d})" for i, (n, (a, b, c, d)) in enumerate(candidates.ZONES.items()))
+
+
+@query("ocr_zones", fx.OBS + f""", pic AS (SELECT ord, CAST(x_max - x_min AS INTEGER) - 90 + cents % 60 AS w, CAST(y_max - y_min AS INTEGER) - 60 AS h FROM obs), zn(i, zone, a, b, c, d) AS (VALUES {ZONE_ROWS}),
+z AS (SELECT ord, w, h, i, zone, greatest(0, least(w - 1, round_even(a::DOUBLE * w, 0)))::INT AS x1, greatest(0, least(h - 1, round_even(b::DOUBLE * h, 0)))::INT AS y1, greatest(0, least(w, round_even(c::DOUBLE * w, 0)))::INT AS x2, greatest(0, least(h, round_even(d::DOUBLE * h, 0)))::INT AS y2 FROM pic, zn WHERE w > 0 AND h > 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY ord, x2 - x1, y2 - y1 ORDER BY i) AS r FROM z WHERE CASE WHEN w < 24 OR h < 24 THEN zone = 'full' ELSE x2 - x1 >= 18 AND y2 - y1 >= 18 END)
+SELECT ord, i, zone, x1, y1, x2, y2 FROM f WHERE r = 1 OR zone = 'full'""")
+def ocr_zones(spark, sf_dir):
+    p = fx.obs(spark, sf_dir).selectExpr("ord", "cast(cast(x_max - x_min AS int) - 90 + cents % 60 AS int) AS w", "cast(y_max - y_min AS int) - 60 AS h")
+    return candidates.zones(p, "ord", "w", "h")
+
+
+PRIOR_ROWS = ", ".join(f"({k}, {', '.join(f'{v}::DOUBLE' for v in x)})" for k, x in enumerate(candidates.PRIORS))
+PRIORS = fx.OBS + f", pr(k, a, b, c, d) AS (VALUES {PRIOR_ROWS}), p AS (SELECT ord, k, floor(a * (x_max - x_min))::INT AS x1, floor(b * (y_max - y_min))::INT AS y1, floor(c * (x_max - x_min))::INT AS x2, floor(d * (y_max - y_min))::INT AS y2 FROM obs, pr)"
+
+
+@query("code_priors", PRIORS + "SELECT * FROM p")
+def code_priors(spark, sf_dir):
+    return fx.obs(spark, sf_dir).select("ord", F.explode(candidates.priors(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"))).alias("p")).select("ord", "p.*")
+
+
+@query("code_regions", fx.OBS + """, g AS (SELECT filename, frame_index, ord, CASE WHEN cents % 5 = 0 THEN ord END AS prior, score FROM obs), n AS (SELECT *, count(prior) OVER (PARTITION BY filename, frame_index) AS n, row_number() OVER (PARTITION BY filename, frame_index ORDER BY prior IS NULL, prior, score DESC, ord) AS r FROM g)
+SELECT filename || ':' || frame_index AS frame, ord, CAST(r AS INTEGER) AS place FROM n WHERE r <= 12 AND r <= n + greatest(0, 12 - n) + 4""")
+def code_regions(spark, sf_dir):
+    g = fx.obs(spark, sf_dir).select(F.concat_ws(":", "filename", "frame_index").alias("frame"), "ord", F.when(F.col("cents") % 5 == 0, F.col("ord")).alias("prior"), "score")
+    return candidates.chosen_regions(g, "frame")
+
+
+@query("recovered_sources", fx.OBS + """SELECT k.filename, k.frame_index, k.ord, arg_max(f.source, (f.score, -f.ord)) AS source FROM obs k JOIN obs f ON k.filename = f.filename AND k.frame_index = f.frame_index
+ AND abs(k.x_min - f.x_min) + abs(k.y_min - f.y_min) + abs(k.x_max - f.x_max) + abs(k.y_max - f.y_max) < 4 GROUP BY ALL""")
+def recovered_sources(spark, sf_dir):
+    o = fx.with_box(fx.obs(spark, sf_dir))
+    return candidates.recovered_sources(o.select("filename", "frame_index", "ord", "box"), o, ["filename", "frame_index"])
+
+
+# --- rows of groups, the whole way
+
+QUALITY = """35.0 * CAST(barcode <> '' AS INTEGER) + 25.0 * CAST(has_qr AS INTEGER) + least(15.0, length(trim(text)) * 0.03::DOUBLE) + 1.0 + (x_max - x_min) * (y_max - y_min) * 0.0001::DOUBLE
+ + 8.0 * (6 + CAST(product_name NOT IN ('', 'нет', 'νες') AS INTEGER) + CAST(price_default <> '' AS INTEGER) + CAST(barcode <> '' AS INTEGER))"""
+GROUPED = fx.TRACK_ROWS + f""", q AS (SELECT *, 'g' || (track_id % 50) AS grp, {QUALITY} AS quality_ FROM tr),
+best AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY filename, grp ORDER BY round(quality_, 6) DESC, ord) = 1),
+v AS (SELECT filename, grp, 'product_name' AS c, CASE WHEN product_name = 'νες' THEN 'нет' ELSE product_name END AS v, ord FROM tr2 UNION ALL SELECT filename, grp, 'price_default', price_default, ord FROM tr2 UNION ALL SELECT filename, grp, 'barcode', barcode, ord FROM tr2),
+n AS (SELECT filename, grp, c, v, count(*) AS n, min(ord) AS o FROM v WHERE v <> '' GROUP BY ALL), m AS (SELECT filename, grp, c, arg_max(v, (n, v <> 'нет', length(v), -o)) AS v FROM n GROUP BY ALL),
+f AS (SELECT b.filename, b.grp, b.timestamp_ms AS frame_timestamp, b.x_min, b.y_min, coalesce(max(m.v) FILTER (WHERE c = 'product_name'), '') AS product_name, coalesce(max(m.v) FILTER (WHERE c = 'price_default'), '') AS price_default, coalesce(max(m.v) FILTER (WHERE c = 'barcode'), '') AS barcode
+ FROM best b LEFT JOIN m ON b.filename = m.filename AND b.grp = m.grp GROUP BY ALL)""".replace("tr2", "(SELECT *, 'g' || (track_id % 50) AS grp FROM tr)")
+
+
+def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = fx.track_rows(spark, sf_dir).withColumns({"group_key": F.concat(F.lit("g"), F.col("track_id") % 50), "has_qr": F.size("payloads") > 0, "observations": F.lit(1), "best_text": F.col("text")})
+    r = r.withColumns({c: F.lit("") for c in tables.TAG_COLUMNS if c not in r.columns})
+    return runs.fuse_groups(r.withColumn("product_name", t.canonical(F.col("product_name"))), ["filename", "group_key"])
+
+
+@query("group_fusion", GROUPED + "SELECT filename, grp AS group_key, frame_timestamp, x_min, y_min, product_name, price_default, barcode FROM f")
+def group_fusion(spark, sf_dir):
+    return grouped(spark, sf_dir).select("filename", "group_key", "frame_timestamp", "x_min", "y_min", "product_name", "price_default", "barcode")
+
+
+@query("sorted_rows", GROUPED + "SELECT row_number() OVER (ORDER BY filename, frame_timestamp, y_min, x_min, grp) AS place, filename, frame_timestamp, product_name FROM f ORDER BY place LIMIT 200")
+def sorted_rows(spark, sf_dir):
+    """The first rows of the table, as a preview shows them."""
+    top = runs.in_order(grouped(spark, sf_dir)).orderBy("filename", "frame_timestamp", "y_min", "x_min", "group_key").limit(200)
+    return top.select(F.row_number().over(Window.orderBy("filename", "frame_timestamp", "y_min", "x_min", "group_key")).cast("long").alias("place"), "filename", "frame_timestamp", "product_name")
+
+
+@query("track_records", REP + """, r AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY round(s, 9) DESC, ord) = 1), g AS (SELECT track_id, count(*) AS observations, min(timestamp_ms) AS first_ts, max(timestamp_ms) AS last_ts FROM tr GROUP BY track_id),
+v AS (SELECT track_id, 'product_name' AS c, CASE WHEN product_name = 'νες' THEN 'нет' ELSE product_name END AS v, ord FROM tr UNION ALL SELECT track_id, 'price_default', price_default, ord FROM tr UNION ALL SELECT track_id, 'barcode', barcode, ord FROM tr),
+n AS (SELECT track_id, c, v, count(*) AS n, min(ord) AS o FROM v WHERE v <> '' GROUP BY ALL), b AS (SELECT track_id, c, arg_max(v, (n, v <> 'нет', length(v), -o)) AS v FROM n GROUP BY ALL)
+SELECT r.track_id, r.ord, g.observations, g.first_ts, g.last_ts, r.filename, r.timestamp_ms AS frame_timestamp, coalesce(max(b.v) FILTER (WHERE c = 'product_name'), '') AS product_name, coalesce(max(b.v) FILTER (WHERE c = 'price_default'), '') AS price_default,
+ coalesce(max(b.v) FILTER (WHERE c = 'barcode'), '') AS barcode, '' AS id_sku FROM r JOIN g USING (track_id) LEFT JOIN b USING (track_id) GROUP BY ALL""")
+def track_records(spark, sf_dir):
+    o = fx.track_rows(spark, sf_dir).withColumn("visual_hash", F.lit(""))
+    return runs.fuse_tracks(o, ["track_id"], 1, 8.0).select("track_id", "ord", "observations", "first_ts", "last_ts", "filename", "frame_timestamp", "product_name", "price_default", "barcode", "id_sku")
+
+
+@query("run_video")
+def run_video(spark, sf_dir):
+    o = fx.track_rows(spark, sf_dir).drop("track_id").withColumn("visual_hash", F.lower(F.lpad(F.hex(F.col("cents") * 2654435761), 16, "0")))
+    return runs.run(frames(spark, sf_dir), o, weight=8.0)
+
+
+# --- evaluation and data sets
+
+
+@query("frame_stats", fx.OBS + "SELECT filename, frame_index, count(*) AS detections, count(*) FILTER (WHERE score >= 0.18) AS observations, CAST(sum(count(*)) OVER (PARTITION BY filename) AS BIGINT) AS total FROM obs GROUP BY filename, frame_index")
+def frame_stats(spark, sf_dir):
+    return profile.frame_stats(fx.obs(spark, sf_dir), F.col("score") >= 0.18)
+
+
+@query("unmatched_predictions")
+def unmatched_predictions(spark, sf_dir):
+    pred = fx.with_box(fx.predicted(spark, sf_dir))
+    met = boxes.greedy_match(fx.with_box(fx.truth(spark, sf_dir)), pred, "frame")
+    return pred.select("ord").join(met.select(F.col("pred_ord").alias("ord")), "ord", "left_anti")
+
+
+@query("files_by_stem", FILES + ", p AS (SELECT DISTINCT path, regexp_replace(split_part(path, '/', 2), '\\.[a-z0-9]+$', '') AS stem, path LIKE '%.mp4' AS v FROM f) SELECT a.path AS truth, b.path AS prediction FROM p a LEFT JOIN p b ON a.stem = b.stem AND b.v WHERE NOT a.v")
+def files_by_stem(spark, sf_dir):
+    p = files(spark, sf_dir)
+    return tables.by_stem(p.where("path LIKE '%.csv'"), p.where("path LIKE '%.mp4'")).select(F.col("path").alias("truth"), F.col("other").alias("prediction"))
+
+
+@query("run_artifacts", RUNS + """, s AS (SELECT run, 'exp ' || run AS experiment FROM run WHERE run <> 'run3' GROUP BY run), y AS (SELECT run, round(sum(matched) / sum(gt), 6) AS recall FROM run WHERE run <> 'run1' GROUP BY run), m AS (SELECT run, CAST(sum(good) AS BIGINT) AS good80 FROM run WHERE run <> 'run0' GROUP BY run)
+SELECT r.run, coalesce(experiment, '') AS experiment, y.recall AS yolo_recall, coalesce(good80, 0) AS good80 FROM (SELECT DISTINCT run FROM run) r LEFT JOIN s ON r.run = s.run LEFT JOIN y ON r.run = y.run LEFT JOIN m ON r.run = m.run""")
+def run_artifacts(spark, sf_dir):
+    m = run_metrics(spark, sf_dir)
+    summary = m.where("run <> 'run3'").select("run", F.concat(F.lit("exp "), "run").alias("experiment")).distinct()
+    yolo = m.where("run <> 'run1'").groupBy("run").agg(F.round(F.sum("matched") / F.sum("gt"), 6).alias("yolo_recall"))
+    good = m.where("run <> 'run0'").groupBy("run").agg(F.sum("good").alias("good80"))
+    return profile.joined_artifacts(m.select("run").distinct(), "run", [summary, yolo, good]).na.fill({"experiment": "", "good80": 0})
+
+
+@query("label_frames", FRAMES + "SELECT o.filename, o.timestamp_ms, count(*) AS labels, any_value(f.frame_index) AS frame_index FROM obs o JOIN fr f ON o.filename = f.filename AND o.timestamp_ms = f.timestamp_ms WHERE f.sharpness >= 10 GROUP BY o.filename, o.timestamp_ms")
+def label_frames(spark, sf_dir):
+    labels = fx.obs(spark, sf_dir).groupBy("filename", "timestamp_ms").agg(F.count("*").alias("labels"))
+    return labels.join(frames(spark, sf_dir).where("sharpness >= 10").select("filename", "timestamp_ms", "frame_index"), ["filename", "timestamp_ms"])
+
+
+@query("run_diagnostics", fx.TRACK_ROWS + "SELECT 'run' || (cents % 4) AS run, filename AS video, count(*) AS pred, count(*) FILTER (WHERE product_name IN ('', 'нет') AND barcode = '') AS no_evidence, count(*) FILTER (WHERE product_name NOT IN ('', 'нет')) AS product_name, count(*) FILTER (WHERE barcode <> '') AS barcode FROM tr GROUP BY ALL")
+def run_diagnostics(spark, sf_dir):
+    r = fx.track_rows(spark, sf_dir).withColumn("run", F.concat(F.lit("run"), F.col("cents") % 4))
+    return profile.diagnostics(r, ["run", "filename"], ["product_name", "barcode"]).withColumnRenamed("filename", "video")
+
+
+@query("pseudo_scan", FRAMES + ", hit AS (SELECT filename, frame_index, count(*) AS n FROM obs WHERE score >= 0.6 AND frame_index % 2 = 0 GROUP BY ALL) SELECT filename, frame_index, n FROM hit QUALIFY row_number() OVER (PARTITION BY filename ORDER BY frame_index) <= 8")
+def pseudo_scan(spark, sf_dir):
+    return tables.scan_with_hits(frames(spark, sf_dir), fx.obs(spark, sf_dir).where("score >= 0.6"), F.lit(5.0), 2.5, 8)
+
+
+@query("dataset_union", fx.OBS + "SELECT filename AS video, 'base' AS part, count(*) AS n FROM obs WHERE score >= 0.9 GROUP BY ALL UNION ALL SELECT filename, 'pseudo', count(*) FROM obs WHERE score < 0.9 AND score >= 0.6 GROUP BY ALL")
+def dataset_union(spark, sf_dir):
+    o = fx.obs(spark, sf_dir)
+    return tables.union_of({"base": o.where("score >= 0.9"), "pseudo": o.where("score < 0.9 AND score >= 0.6")}, "part").groupBy(F.col("filename").alias("video"), "part").agg(F.count("*").alias("n"))
+
+
+@query("propagation_chain", fx.TRACK_ROWS + """, c AS (SELECT track_id, ord, timestamp_ms, score, row_number() OVER (PARTITION BY track_id ORDER BY timestamp_ms, ord) AS i, count(*) OVER (PARTITION BY track_id) AS n FROM tr), s AS (SELECT *, i - (n + 1) // 2 AS step FROM c),
+a AS (SELECT *, min(CASE WHEN score >= 0.1 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id, step > 0 ORDER BY abs(step)) AS ok FROM s WHERE step <> 0 AND abs(step) <= 6) SELECT track_id, ord, step FROM a WHERE ok = 1""")
+def propagation_chain(spark, sf_dir):
+    r = fx.track_rows(spark, sf_dir)
+    return tracking.propagated(r, ["track_id"], ["timestamp_ms", "ord"], F.col("score") >= 0.1, 6).select("track_id", "ord", "step")

@@ -117,3 +117,28 @@ def write_yolo(labels: DataFrame, path: str) -> None:
     """labels: split, frame, ord, line. One text row a frame, in folders by split."""
     lines = labels.groupBy("split", "frame").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("x"))
     lines.select("split", F.array_join(F.col("x.line"), "\n").alias("value")).write.mode("overwrite").partitionBy("split").text(path)
+
+
+def by_stem(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left (path) with `other`, the right paths of the same file name without its ending; null where there is none."""
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[a-z0-9]+$", "")
+    return left.withColumn("stem", stem).join(right.select(stem.alias("stem"), F.col("path").alias("other")), "stem", "left")
+
+
+def scan_with_hits(frames: DataFrame, hits: DataFrame, fps: Column, sample_fps: float, most: int) -> DataFrame:
+    """filename, frame_index and number of hits n of the first `most` sampled frames that have any."""
+    from pyspark.sql import Window
+
+    step = F.greatest(F.lit(1), F.rint(fps / max(0.1, sample_fps)).cast("int"))
+    n = hits.groupBy("filename", "frame_index").agg(F.count("*").alias("n"))
+    met = frames.where(F.col("frame_index") % step == 0).select("filename", "frame_index").distinct().join(n, ["filename", "frame_index"])
+    return met.withColumn("__r", F.row_number().over(Window.partitionBy("filename").orderBy("frame_index"))).where(F.col("__r") <= most).drop("__r")
+
+
+def union_of(parts: dict[str, DataFrame], name: str) -> DataFrame:
+    """All rows of several tables, with the table's name as a column; columns that some lack are null there."""
+    out = None
+    for k, part in parts.items():
+        part = part.withColumn(name, F.lit(k))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out

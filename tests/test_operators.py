@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tagloom.functions import fields, geometry, hashes, images
 from tagloom.functions import payloads as qr
 from tagloom.functions import text as t
-from tagloom.operators import boxes, components, fusion, tracking
+from tagloom.operators import boxes, candidates, components, fusion, runs, tracking
+from tagloom.schema import TAG_COLUMNS
 from tagloom.plans import fixtures as fx
 from tagloom.sources import tables
 from tagloom.streaming import tracker as st
@@ -173,3 +174,53 @@ def test_csv_and_config(spark, tmp_path):
     assert tables.read_config(str(tmp_path / "c.json")) == {"a": 1}
     assert tables.read_config(None) == {}
     assert tables.env_flag({"X": "On"}, "X", False)
+
+
+OBS = "filename string, frame_index long, ord long, timestamp_ms long, x_min double, y_min double, x_max double, y_max double, score double, source string, text string, quality double, payloads array<string>, visual_hash string, product_name string, barcode string"
+
+
+def observation(ord_, frame, x, source="yolo", name="", barcode="", hash_="", text="", y=100.0):
+    return ("v.mp4", frame, ord_, frame * 500, x, y, x + 120.0, y + 120.0, 0.9, source, text, 100.0, [], hash_, name, barcode)
+
+
+def ran(spark, rows, **more):
+    obs = spark.createDataFrame(rows, OBS)
+    every = spark.range(0, 60).select(F.lit("v.mp4").alias("filename"), F.col("id").alias("frame_index"))
+    return runs.run(every, obs, **more).collect()
+
+
+def test_run_from_frames_to_rows(spark):
+    first = [observation(k, k, 100.0 + k, name="Сыр", barcode="46") for k in range(3)]
+    found = ran(spark, [*first, observation(9, 1, 3000.0, name="Молоко")])
+    assert [(r.product_name, r.barcode) for r in found] == [("Сыр", "46"), ("Молоко", "")] and list(found[0].asDict()) == TAG_COLUMNS
+    # apart in time, so two tracks: one row if they carry the same code or lie alike with like looks, two if their codes differ
+    later = lambda **k: [*(observation(i, i, 100.0, **k.get("a", {})) for i in range(2)), *(observation(20 + i, 9 + i, 106.0, **k.get("b", {})) for i in range(2))]
+    assert len(ran(spark, later(a={"barcode": "46"}, b={"barcode": "46"}))) == 1
+    assert len(ran(spark, later(a={"barcode": "46"}, b={"barcode": "47"}))) == 2
+    assert len(ran(spark, later(a={"hash_": "ff00ff00ff00ff00"}, b={"hash_": "ff00ff00ff00ff01"}))) == 1
+    assert len(ran(spark, later(a={"hash_": "ff00ff00ff00ff00"}, b={"hash_": "00ff00ff00ff00ff"}))) == 2
+    # proposals of fallback detectors need evidence
+    assert ran(spark, [observation(0, 0, 100.0, source="heuristic", name="Сыр")]) == []
+    assert len(ran(spark, [observation(0, 0, 100.0, source="heuristic", barcode="46")])) == 1
+    assert ran(spark, first[:2], least=3) == [] and ran(spark, []) == []
+
+
+def test_group_takes_best_row_and_common_values(spark):
+    row = lambda o, name, code, n: {"ord": o, "g": "x", **{c: "" for c in TAG_COLUMNS}, "filename": "v", "frame_timestamp": o, "x_min": 0.0, "y_min": 0.0, "x_max": 10.0, "y_max": 10.0, "product_name": name, "barcode": code, "observations": n, "best_text": "", "has_qr": False}
+    out = runs.fuse_groups(spark.createDataFrame([row(1, "Сыр", "", 30), row(2, "Мёд", "46", 1), row(3, "Сыр", "", 2)]), ["g"]).collect()
+    assert [(r.frame_timestamp, r.product_name, r.barcode) for r in out] == [(2, "Сыр", "46")]
+
+
+def test_stream_tracker_keeps_identifiers():
+    k = tracking.Tracker()
+    box = (0.0, 0.0, 100.0, 100.0)
+    assert k.step([(0.9, 1, box, tracking.identifiers({"barcode": "46"}))]) == {1: 1}
+    kept = tracking.Tracker(tracks=[tracking.Track(t.track_id, t.box, t.lost, t.ids) for t in k.tracks.values()], next_id=k.next_id)
+    assert kept.step([(0.9, 2, box, tracking.identifiers({"barcode": "47"}))]) == {2: 2}
+
+
+def test_regions_and_zones(spark):
+    r = spark.createDataFrame([("p", i if i < 9 else None, float(i), i) for i in range(30)], "k string, prior int, score double, ord int")
+    assert [x.ord for x in candidates.chosen_regions(r, "k").orderBy("place").collect()] == [*range(9), 29, 28, 27]
+    z = candidates.zones(spark.createDataFrame([("a", 100, 100), ("b", 20, 90), ("c", 0, 5)], "k string, w int, h int"), "k", "w", "h").collect()
+    assert [x.zone for x in sorted(z, key=lambda x: (x.k, x.i))] == ["full", "product_top", "price_left", "lower_codes", "center", "full"]
