@@ -27,6 +27,29 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Paths of tables written since settled() began, innermost last.
+_WRITTEN: list[list[str]] = []
+
+
+def settled(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What make() returns, written; the tables that were written on the way are deleted, so their disk is free again."""
+    _WRITTEN.append([])
+    try:
+        df = make()
+        spark = df.sparkSession
+        path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        df.write.option("compression", "snappy").parquet(path)
+        schema = df.schema
+    finally:
+        gone = _WRITTEN.pop()
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
+    for p in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return spark.read.schema(schema).parquet(path)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it again.
 
@@ -35,6 +58,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     schema = df.schema
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     df.write.option("compression", "snappy").parquet(path)  # zstd's native buffers add up over many small files
     return spark.read.schema(schema).parquet(path)
 
@@ -75,9 +100,10 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column, end to end, and the rows' n + 1 offsets in them; nulls are empty."""
-    col = col.cast(pa.large_string()) if pa.types.is_string(col.type) else col
-    col = col.fill_null("") if col.null_count else col
+    """The UTF-8 bytes of a string column, or those of a binary one, end to end, and the rows' n + 1 offsets in them; nulls are empty."""
+    binary = pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type)
+    col = col.cast(pa.large_binary() if binary else pa.large_string())
+    col = col.fill_null(b"" if binary else "") if col.null_count else col
     _, offsets, data = col.buffers()
     offs = np.frombuffer(offsets, np.int64, len(col) + 1, col.offset * 8)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -4,12 +4,13 @@ Every window of FAR bytes that also starts elsewhere is covered and goes. Beside
 elsewhere are followed, and what they cover in one piece counts as a passage if it holds WORDS words: shared passages of
 some fifty words are shorter than FAR bytes. op6 reports those, the pipeline's stage removes them too.
 
-Windows of NEAR bytes can only repeat under a common anchor (anchors.py), so runs of windows whose anchor and side occur
-once are left out; the others, equal ones once, with what a window of FAR bytes needs behind them, are dealt by anchor to
-shards of bounded size. Each shard is suffix-sorted by external induced sorting with common-prefix values (induced.py),
-whose queue goes to disk; neighbours with a common prefix of NEAR or FAR bytes are repeats. A run that occurs twice as a
-whole repeats as a whole, without a sort. A key whose distinct runs exceed a shard can't be sorted in one task: its
-windows are named by 128-bit hashes and counted, without skew.
+Windows can only repeat under a common anchor (anchors.py), so runs of windows whose anchor and side occur once are left
+out; the others, equal ones once, are dealt by anchor to shards of bounded size. Each shard is suffix-sorted by external
+induced sorting with common-prefix values (induced.py), whose queue goes to disk; neighbours with as long a common prefix
+as a window are repeats. A run that occurs twice as a whole, and has no other under its key, repeats as a whole, without
+a sort. A key whose distinct runs exceed a shard can't be sorted in one task: its windows are named by 128-bit hashes and
+counted, without skew. Repeats of NEAR bytes are looked for in all texts; those of FAR bytes can only lie within pieces
+that the former cover, so they are looked for in those pieces alone.
 
 Texts that occur more than once are looked at once; all of their bytes go if there are FAR of them. Texts are told
 apart by MD5, equal runs and windows by 128 bits of hash.
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import windows
-from .common import bit_array, bits_for, give_back, has_bit, materialise, maybe_in, slices, table, text_buffers, tidy
+from .common import bit_array, bits_for, give_back, has_bit, materialise, maybe_in, settled, slices, table, text_buffers, tidy
 from .induced import suffix_order
 
 #: Bytes of the windows that are followed and of those that are removed; words of a passage.
@@ -64,34 +65,31 @@ def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("NOT maybe").select("rid", "text").unionByName(materialise(once, "passages-once")), copies
 
 
-def part_windows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[dict, np.ndarray]]:
+def part_windows(data: np.ndarray, offsets: np.ndarray, span: int) -> Iterator[tuple[dict, np.ndarray]]:
     """Runs of windows of texts that lie end to end; long data in parts that overlap by a window."""
     if len(data) <= 2 * PART:
-        yield windows(data, offsets, NEAR), data
+        yield windows(data, offsets, span), data
         return
     for at in range(0, len(data), PART):  # one long text
-        piece = data[at : at + PART + NEAR - 1]
-        w = windows(piece, np.array([0, len(piece)]), NEAR)
+        piece = data[at : at + PART + span - 1]
+        w = windows(piece, np.array([0, len(piece)]), span)
         yield {k: v + at if k in ("first", "last") else v for k, v in w.items()}, data
 
 
-def run_keys(texts: DataFrame) -> DataFrame:
+def run_keys(texts: DataFrame, span: int) -> DataFrame:
     """Keys of all runs that more than one run has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0, 4096, PART):
-                for w, _ in part_windows(*text_buffers(part.column(0))):
+                for w, _ in part_windows(*text_buffers(part.column(0)), span):
                     yield pa.RecordBatch.from_arrays([pa.array(w["key"].view(np.int64))], names=["key"])
 
     return texts.select("text").mapInArrow(tidy(run), "key long").groupBy("key").count().where("count > 1").select("key")
 
 
-def candidate_runs(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, sid (128 bits of the bytes), rid, start and number of windows, bytes (of the first such run in a task) of runs whose key may repeat.
-
-    The bytes go on behind the last window as far as a window of FAR bytes that starts there, or to the text's end.
-    """
+def candidate_runs(texts: DataFrame, keys: DataFrame, span: int) -> DataFrame:
+    """key, sid (128 bits of the bytes), rid, start and number of windows, bytes (of the first such run in a task) of runs whose key may repeat."""
     size = bits_for(keys)
     held = texts.sparkSession.sparkContext.broadcast(bit_array(keys, "key", size))
 
@@ -101,13 +99,12 @@ def candidate_runs(texts: DataFrame, keys: DataFrame) -> DataFrame:
             for part in slices(batch, 1, 4096, PART):
                 data, offsets = text_buffers(part.column(1))
                 rids = part.column(0).to_pylist()
-                for w, data in part_windows(data, offsets):
+                for w, data in part_windows(data, offsets, span):
                     keep = np.flatnonzero(has_bit(bits, spark_hash(w["key"]) & (size - 1)))
                     cols = {k: [] for k in ("sid", "rid", "start", "windows", "bytes")}
-                    ends = np.minimum(w["last"][keep] + FAR, offsets[w["text"][keep] + 1])
-                    for t, a, b, e in zip(w["text"][keep].tolist(), w["first"][keep].tolist(), w["last"][keep].tolist(), ends.tolist(), strict=True):
-                        raw = data[a:e].tobytes()
-                        sid = hashlib.blake2b(raw, digest_size=16, salt=(b - a).to_bytes(8)).digest()
+                    for t, a, b in zip(w["text"][keep].tolist(), w["first"][keep].tolist(), w["last"][keep].tolist(), strict=True):
+                        raw = data[a : b + span].tobytes()
+                        sid = hashlib.blake2b(raw, digest_size=16).digest()
                         cols["sid"].append(sid)
                         cols["rid"].append(rids[t])
                         cols["start"].append(a - int(offsets[t]))
@@ -135,29 +132,16 @@ def spark_hash(x: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def repeats_in(runs: list[np.ndarray], counts: np.ndarray, whole: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each run of bytes: whether each of its first `counts` windows of NEAR bytes starts anywhere else among them, or
-    the run occurs twice as a whole; and the same for the windows of FAR bytes that start there."""
+def repeats_in(runs: list[np.ndarray], counts: np.ndarray, whole: np.ndarray, span: int) -> list[np.ndarray]:
+    """For each run of bytes: whether each of its first `counts` windows starts anywhere else among them, or the run occurs twice as a whole."""
     offs = np.cumsum([0, *(len(r) + 1 for r in runs)])
     text = np.concatenate([x for r in runs for x in (r, BREAK)])
-    order, common = suffix_order(text, FAR)
-    starts = np.zeros(len(text), bool)
-    for a, n in zip(offs[:-1].tolist(), counts.tolist(), strict=True):
-        starts[a : a + n] = True  # what stands behind them may belong to other runs of the same text, too
-    hits = []
-    for span in (NEAR, FAR):
-        group = np.cumsum(common < span)  # intervals of suffixes with so many bytes in common
-        hit = np.zeros(len(text), bool)
-        hit[order] = np.bincount(group[starts[order]], minlength=int(group[-1]) + 1)[group] > 1
-        hits.append(hit)
-    near, far = hits
-    # windows of FAR bytes that reach beyond their run are none
-    return [(near[a : a + n] | w, (far[a : a + n] | w)[: max(0, b - a - FAR)]) for a, b, n, w in zip(offs[:-1].tolist(), offs[1:].tolist(), counts.tolist(), whole.tolist(), strict=True)]
-
-
-def whole_run(windows_: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for a run of so many windows and bytes that occurs twice as a whole."""
-    return np.ones(windows_, bool), np.ones(min(windows_, max(0, size - FAR + 1)), bool)
+    order, common = suffix_order(text, span)
+    hit = np.zeros(len(text), bool)
+    same = np.flatnonzero(common >= span)
+    hit[order[same]] = True
+    hit[order[same - 1]] = True
+    return [hit[a : a + n] | w for a, n, w in zip(offs[:-1].tolist(), counts.tolist(), whole.tolist(), strict=True)]
 
 
 def intervals(hit: np.ndarray) -> list[dict]:
@@ -166,29 +150,25 @@ def intervals(hit: np.ndarray) -> list[dict]:
     return [{"a": int(a), "z": int(z)} for a, z in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1, strict=True)]
 
 
-SOME = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
-HITS = pa.schema([("sid", pa.binary()), ("near", SOME), ("far", SOME)])
-HITS_TYPE = "sid binary, near array<struct<a:int,z:int>>, far array<struct<a:int,z:int>>"
+HITS = pa.schema([("sid", pa.binary()), ("hits", pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))])
+HITS_TYPE = "sid binary, hits array<struct<a:int,z:int>>"
 
 
-def shard_hits(work: DataFrame, shards: int) -> DataFrame:
-    """sid and repeating windows (first, last) of NEAR and of FAR bytes, for distinct runs dealt to shards by key."""
+def shard_hits(work: DataFrame, shards: int, span: int) -> DataFrame:
+    """sid and repeating windows (first, last) for distinct runs dealt to shards by key."""
 
     def one(tab: pa.Table) -> pa.Table:
-        keys, n = tab["key"].to_pylist(), np.asarray(tab["n"])
+        keys, n, counts = tab["key"].to_pylist(), np.asarray(tab["n"]), np.asarray(tab["windows"])
         kinds = Counter(keys)
         several = np.array([kinds[k] > 1 for k in keys])
-        counts, found = np.asarray(tab["windows"]), {}
-        sizes = [len(x.as_buffer()) for x in tab["bytes"]]
-        for i in np.flatnonzero(~several & (n > 1)).tolist():
-            found[i] = whole_run(int(counts[i]), sizes[i])
+        found = {i: np.ones(int(counts[i]), bool) for i in np.flatnonzero(~several & (n > 1)).tolist()}
         if several.any():
             some = np.flatnonzero(several)
             runs = [np.frombuffer(tab["bytes"][i].as_buffer(), np.uint8) for i in some.tolist()]
-            found |= dict(zip(some.tolist(), repeats_in(runs, counts[some], n[some] > 1), strict=True))
+            found |= dict(zip(some.tolist(), repeats_in(runs, counts[some], n[some] > 1, span), strict=True))
             del runs
         sids = tab["sid"].to_pylist()
-        out = pa.Table.from_pylist([{"sid": sids[i], "near": intervals(near), "far": intervals(far)} for i, (near, far) in sorted(found.items()) if near.any()], HITS)
+        out = pa.Table.from_pylist([{"sid": sids[i], "hits": intervals(h)} for i, h in sorted(found.items()) if h.any()], HITS)
         del found
         give_back()
         return out
@@ -197,52 +177,81 @@ def shard_hits(work: DataFrame, shards: int) -> DataFrame:
     return dealt.select("shard", "key", "sid", "windows", "n", "bytes").groupBy("shard").applyInArrow(one, HITS_TYPE)
 
 
-def window_hits(hot: DataFrame) -> DataFrame:
+def window_hits(hot: DataFrame, span: int) -> DataFrame:
     """The same for the runs of keys with more distinct runs than a shard holds: each window by its hash, counted before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sid, n, k, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                for far, span in ((False, NEAR), (True, FAR)):
-                    m = min(n, max(0, len(raw) - span + 1))
-                    names = [hashlib.blake2b(raw[i : i + span], digest_size=16, salt=bytes([far])).digest() for i in range(m)]
-                    yield pa.RecordBatch.from_arrays([pa.array([sid] * m, pa.binary()), pa.array(range(m), pa.int32()), pa.array([k] * m, pa.int64()), pa.array([far] * m, pa.bool_()), pa.array(names, pa.binary())], names=["sid", "i", "n", "far", "name"])
+                names = [hashlib.blake2b(raw[i : i + span], digest_size=16).digest() for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([sid] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([k] * n, pa.int64()), pa.array(names, pa.binary())], names=["sid", "i", "n", "name"])
 
-    found = materialise(hot.select("sid", "windows", "n", "bytes").mapInArrow(tidy(run), "sid binary, i int, n long, far boolean, name binary"), "passages-windows")
+    found = materialise(hot.select("sid", "windows", "n", "bytes").mapInArrow(tidy(run), "sid binary, i int, n long, name binary"), "passages-windows")
     twice = found.groupBy("name").agg(F.sum("n").alias("times")).where("times > 1").select("name")
-    at = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(kind, F.col("i")))), lambda i: F.struct(i.alias("a"), i.alias("z")))
-    return found.join(twice, "name").groupBy("sid").agg(at(~F.col("far")).alias("near"), at(F.col("far")).alias("far"))  # a run's windows: some hundreds
+    hits = found.join(twice, "name").groupBy("sid").agg(F.array_sort(F.collect_list("i")).alias("at"))  # a run's windows: some hundreds
+    return hits.select("sid", F.transform("at", lambda i: F.struct(i.alias("a"), i.alias("z"))).alias("hits"))
 
 
-def covered(docs: DataFrame) -> DataFrame:
-    """rid and the byte spans (b, e; in order, not merged) that repeats of NEAR and of FAR bytes cover, for each text with any; null for all of the text."""
-    texts, copies = distinct_texts(docs)
-    keys = materialise(run_keys(texts), "passages-keys")
-    runs = materialise(candidate_runs(texts, keys), "passages-runs")
+def repeats(texts: DataFrame, span: int) -> DataFrame:
+    """rid and the byte spans (b, e; in order, not merged) that repeats of `span` bytes cover, for each of the texts (rid, text) with any."""
+    keys = materialise(run_keys(texts, span), "passages-keys")
+    runs = materialise(candidate_runs(texts, keys, span), "passages-runs")
     distinct = runs.groupBy("sid").agg(F.first("key").alias("key"), F.count("*").alias("n"), F.first("windows").alias("windows"), F.first("bytes", ignorenulls=True).alias("bytes"))
     distinct = materialise(distinct, "passages-distinct")
-    size = F.octet_length("bytes").cast("long")
-    hot = materialise(distinct.select("key", size.alias("size")).groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") > HOT).select("key"), "passages-hot")
-    total = distinct.agg(F.sum(size)).first()[0]
-    rest = distinct if hot.isEmpty() else distinct.join(hot, "key", "left_anti")
-    hits = shard_hits(rest, max(1, -(-int(total or 0) // SHARD)))
-    if not hot.isEmpty():
-        hits = hits.unionByName(window_hits(distinct.join(hot, "key", "left_semi")))
-    hits = materialise(hits, "passages-hits")
-    span = lambda name, far, size: F.transform(name, lambda h: F.struct((F.col("start") + h["a"]).alias("b"), (F.col("start") + h["z"] + size).alias("e"), F.lit(far).alias("far")))
-    spans = runs.select("sid", "rid", "start").join(hits, "sid").select("rid", F.explode(F.concat(span("near", False, NEAR), span("far", True, FAR))).alias("s"))
-    of = lambda kind: F.array_sort(F.collect_list(F.when(kind, F.struct("s.b", "s.e"))))
-    per_text = spans.groupBy("rid").agg(of(~F.col("s.far")).alias("near"), of(F.col("s.far")).alias("far"))
-    whole = copies.select("rid", *(F.lit(None).cast(SPAN_TYPE).alias(c) for c in ("near", "far")))  # all of it
-    return per_text.join(copies, "rid", "left_anti").unionByName(whole)
-
-
-def merged(spans: list[dict] | None, size: int, least: int = 0) -> list[tuple[int, int]]:
-    """Maximal runs of covered bytes; None: everything, if it is at least so long."""
-    if spans is None:
+    sizes = distinct.select("key", F.octet_length("bytes").cast("long").alias("size")).groupBy("key").agg(F.count("*").alias("kinds"), F.sum("size").alias("size")).where("kinds > 1")
+    sizes = materialise(sizes, "passages-sizes")
+    # runs alone under their key need no sort, and their bytes no shuffle
+    marked = maybe_in(distinct, F.col("key"), sizes, "key", bits_for(sizes))
+    alone = marked.where("NOT maybe AND n > 1").select("sid", F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).alias("z"))).alias("hits"))
+    work, hot = marked.where("maybe").drop("maybe"), sizes.where(F.col("size") > HOT).select("key")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    if hot.isEmpty():
+        hits = shard_hits(work, max(1, -(-int(total) // SHARD)), span)
+    else:
+        hot = materialise(hot, "passages-hot")
+        hits = shard_hits(work.join(hot, "key", "left_anti"), max(1, -(-int(total) // SHARD)), span).unionByName(window_hits(work.join(hot, "key", "left_semi"), span))
+    hits = materialise(alone.unionByName(hits), "passages-hits")
+    spans = runs.select("sid", "rid", "start").join(hits, "sid").select("rid", F.explode(F.transform("hits", lambda h: F.struct((F.col("start") + h["a"]).alias("b"), (F.col("start") + h["z"] + span).alias("e")))).alias("s"))
+    return spans.groupBy("rid").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+
+
+def covered_pieces(texts: DataFrame, near: DataFrame) -> DataFrame:
+    """rid (with the first byte's place behind it) and text: the pieces of texts that near's spans cover, where FAR bytes fit in."""
+    rows = maybe_in(texts, F.col("rid"), near, "rid", bits_for(near)).where("maybe").join(near, "rid").select("rid", "text", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rids, pieces = [], []
+            for rid, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                raw = text.encode()
+                for b, e in merged(spans, len(raw)):
+                    if e - b >= FAR:
+                        rids.append(rid + b.to_bytes(8))
+                        pieces.append(raw[b:e])
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.binary()), pa.array(pieces, pa.binary())], names=["rid", "text"])
+
+    return rows.mapInArrow(tidy(run), "rid binary, text binary")
+
+
+def covered(docs: DataFrame) -> DataFrame:
+    """rid, near and far: the byte spans (b, e; in order, not merged) that repeats of NEAR and of FAR bytes cover, for each text with any; whole: true for texts that occur more than once."""
+    texts, copies = distinct_texts(docs)
+    near = settled(lambda: repeats(texts, NEAR), "passages-near")
+    pieces = materialise(covered_pieces(texts, near), "passages-pieces")
+    far = settled(lambda: repeats(pieces, FAR), "passages-far")
+    far = far.select(F.substring("rid", 1, 16).alias("text_rid"), F.conv(F.hex(F.substring("rid", 17, 8)), 16, 10).cast("long").alias("at"), F.explode("spans").alias("s"))
+    far = far.select(F.col("text_rid").alias("rid"), F.struct((F.col("s.b") + F.col("at")).alias("b"), (F.col("s.e") + F.col("at")).alias("e")).alias("s"))
+    far = far.groupBy("rid").agg(F.array_sort(F.collect_list("s")).alias("far"))
+    found = near.withColumnRenamed("spans", "near").join(far, "rid", "left").join(copies, "rid", "left_anti").withColumn("whole", F.lit(False))
+    return found.unionByName(copies.select("rid", *(F.lit(None).cast(SPAN_TYPE).alias(c) for c in ("near", "far")), F.lit(True).alias("whole")))
+
+
+def merged(spans: list[dict] | None, size: int, least: int | None = None) -> list[tuple[int, int]]:
+    """Maximal runs of covered bytes; with `least`: everything, if it is at least so long."""
+    if least is not None:
         return [(0, size)] if size >= least else []
     out: list[list[int]] = []
-    for s in spans:
+    for s in spans or []:
         if out and s["b"] <= out[-1][1]:
             out[-1][1] = max(out[-1][1], s["e"])
         else:
@@ -250,9 +259,10 @@ def merged(spans: list[dict] | None, size: int, least: int = 0) -> list[tuple[in
     return [(b, e) for b, e in out]
 
 
-def passages_of(raw: bytes, near: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that repeats of NEAR bytes cover and that hold WORDS words."""
-    return [(b, e) for b, e in merged(near, len(raw), NEAR) if len(WORD.findall(raw, b, e)) >= WORDS]
+def runs_of(raw: bytes, near: list[dict] | None, far: list[dict] | None, whole: bool) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Maximal runs of bytes that repeats of FAR bytes cover, and those of NEAR bytes that hold WORDS words."""
+    wide = merged(far, len(raw), FAR if whole else None)
+    return wide, [(b, e) for b, e in merged(near, len(raw), NEAR if whole else None) if len(WORD.findall(raw, b, e)) >= WORDS]
 
 
 def cut(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -261,29 +271,28 @@ def cut(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs that have no spans, and those that have, with columns `__near`, `__far` and `__any`. A bit map spares most texts the shuffle."""
+    """Rows of docs that have no spans, and those that have, with columns `__near`, `__far` and `__whole`. A bit map spares most texts the shuffle."""
     marked = maybe_in(docs.withColumn("__rid", print_of()), F.coalesce("__rid", F.lit(b"")), spans, "rid", bits_for(spans))
     marked = marked.withColumn("maybe", F.col("maybe") & (F.octet_length("text") >= NEAR))
-    found = spans.select(F.col("rid").alias("__rid"), F.col("near").alias("__near"), F.col("far").alias("__far"), F.lit(True).alias("__any"))
+    found = spans.select(F.col("rid").alias("__rid"), F.col("near").alias("__near"), F.col("far").alias("__far"), F.col("whole").alias("__whole"))
     some = marked.where("maybe").join(found, "__rid", "left")
-    return marked.where("NOT coalesce(maybe, false)").select(*docs.columns), some.select(*docs.columns, "__near", "__far", F.coalesce("__any", F.lit(False)).alias("__any"))
+    return marked.where("NOT coalesce(maybe, false)").select(*docs.columns), some.select(*docs.columns, "__near", "__far", F.coalesce("__whole", F.lit(False)).alias("__whole"))
 
 
 def remove_passages(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256, word_passages (number of passages of WORDS words that repeat) and runs (first byte, end) for each row of docs."""
     docs = docs.select(key, "text")
-    spans = materialise(covered(docs), "passages-spans")
+    spans = settled(lambda: covered(docs), "passages-spans")
     none, some = with_spans(docs, spans)
     runs_type = "array<struct<b:long,e:long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, near, far, there in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+            for text, near, far, whole in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
                 raw = text.encode()
-                runs = merged(far, len(raw), FAR) if there else []
-                words = len(passages_of(raw, near)) if there else 0
-                rows.append((len(raw), sum(e - b for b, e in runs), len(runs), hashlib.sha256(cut(raw, runs)).hexdigest(), words, [{"b": b, "e": e} for b, e in runs]))
+                runs, words = runs_of(raw, near, far, whole)
+                rows.append((len(raw), sum(e - b for b, e in runs), len(runs), hashlib.sha256(cut(raw, runs)).hexdigest(), len(words), [{"b": b, "e": e} for b, e in runs]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "word_passages", "runs"])
 
@@ -306,22 +315,19 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     As in the operator every copy of a passage goes, the first too: what many documents share is boilerplate. Documents of
     which no word is left go. n_chars follows.
     """
-    spans = materialise(covered(docs.select("text")), "passages-spans")
+    spans = settled(lambda: covered(docs.select("text")), "passages-spans")
     none, some = with_spans(docs, spans)
 
     @F.pandas_udf("string")
-    def kept(text, near, far, there):
-        def left(t, n, f, ok):
-            if not ok:
-                return t
+    def kept(text, near, far, whole):
+        def left(t, n, f, w):
             raw = t.encode()
-            n, f = (None if x is None else list(x) for x in (n, f))
-            both = sorted([*merged(f, len(raw), FAR), *passages_of(raw, n)])
+            both = sorted(sum(runs_of(raw, *(None if x is None else list(x) for x in (n, f)), w), []))
             return cut(raw, merged([{"b": b, "e": e} for b, e in both], len(raw))).decode("utf-8", "ignore")
 
-        return text.__class__([left(*x) for x in zip(text, near, far, there, strict=True)])
+        return text.__class__([left(*x) for x in zip(text, near, far, whole, strict=True)])
 
-    cleaned = materialise(some.withColumn("__text", kept("text", "__near", "__far", "__any")).drop("__near", "__far"), "passages-kept")
+    cleaned = materialise(some.withColumn("__text", kept("text", "__near", "__far", "__whole")).drop("__near", "__far"), "passages-kept")
     changed = F.col("__text") != F.col("text")
     cleaned = cleaned.where(~changed | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
     cols = {"text": F.col("__text")}
