@@ -2,11 +2,12 @@
 
 A text's ids and the end id are cut into full sequences; what is left of each text is an item of 1 to 1023 ids. The
 histogram of their lengths is a cutting-stock problem: its linear program is solved by column generation, each new
-pattern priced by a knapsack's dynamic program over the duals. Pattern counts are rounded down. Items are ranked within
-their length and the ranks dealt to the patterns' places, which is arithmetic on a table of bounded size.
+pattern priced by a knapsack's dynamic program over the duals. The counts of its full patterns are rounded down; what that
+leaves is filled by full patterns of a bounded knapsack, longest items first. Items are ranked within their length and
+the ranks dealt to the patterns' places, which is arithmetic on a table of bounded size.
 
-Patterns that leave room, and the few items that rounding leaves, are laid end to end in a stream that is cut at
-sequence ends, the last part at powers of two. So no sequence is padded.
+Items that fill no sequence exactly (more long ones than there are partners for) are laid end to end in a stream that is
+cut at sequence ends, the last part at powers of two. So no sequence is padded.
 
 What the driver holds is bounded by the sequence length: a histogram of 1023 lengths, a basis of as many patterns.
 
@@ -34,10 +35,9 @@ from .common import materialise, slices, table, tidy
 
 LENGTH = 1024
 END_ID = 0
-#: The linear program is solved to this share of its value; what its patterns leave room for is filled by the stream.
-GAP = 0.03
-#: Columns generated at most: a bound on the driver's time, which doesn't grow with the corpus.
-COLUMNS = 600
+#: The linear program is solved to this share of its value, or stops after so many columns: a bound on the driver's time.
+#: No item is lost by that: exhaust() fills sequences with whatever its rounded patterns leave.
+GAP, COLUMNS = 0.03, 600
 #: Fixed value: how byte-level vocabularies of this family split texts.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts with longer pieces go to the library whose time isn't quadratic in a piece.
@@ -199,22 +199,75 @@ class Plan:
     stream: int  # ids in the stream
 
 
+def exact_filling(counts: dict[int, int], room: int) -> Counter | None:
+    """Items of the given counts that fill the room to the last id, rather long ones than short ones; None if none do.
+
+    The knapsack's dynamic program with bounded copies, over sums as the bits of a number.
+    """
+    reach, steps = 1, []
+    full = (1 << (room + 1)) - 1
+    for k in sorted((k for k, n in counts.items() if n > 0 and k <= room), reverse=True):
+        for _ in range(min(counts[k], room // k)):
+            more = (reach | reach << k) & full
+            if more == reach:
+                break
+            steps.append((reach, k))
+            reach = more
+            if reach >> room & 1:
+                break
+        if reach >> room & 1:
+            break
+    if not reach >> room & 1:
+        return None
+    found = Counter()
+    for before, k in reversed(steps):
+        if not before >> room & 1:
+            found[k] += 1
+            room -= k
+    return found
+
+
+def exhaust(counts: dict[int, int], room: int = LENGTH) -> list[tuple[Counter, int]]:
+    """Full patterns for what the rounded program leaves, longest items first, each as often as there are items for it.
+
+    Every pattern uses up the items of one of its lengths, so there are about as many patterns as lengths.
+    """
+    left, out = Counter({k: n for k, n in counts.items() if n > 0}), []
+    for k in sorted(left, reverse=True):
+        while left[k] > 0:
+            left[k] -= 1
+            found = exact_filling(left, room - k)
+            left[k] += 1
+            if found is None:
+                break  # no partners: these go to the stream
+            found[k] += 1
+            n = min(left[v] // m for v, m in found.items())
+            for v, m in found.items():
+                left[v] -= n * m
+            out.append((found, n))
+    return out
+
+
 def plan(counts: dict[int, int]) -> Plan:
+    """Full patterns of the linear program, rounded down; full patterns for the rest; the stream for what fits nowhere."""
     places, used, sequence, stream = [], Counter(), 0, 0
-    for pattern, often in generate_columns(counts):
-        # rounded down, and never more than there is
-        n = min([int(often + 1e-6), *((counts[k] - used[k]) // m for k, m in pattern.items() if m)])
-        if n <= 0:
-            continue
-        size, at, whole = sum(k * m for k, m in pattern.items()), 0, sum(k * m for k, m in pattern.items()) == LENGTH
+
+    def place(pattern: Counter, n: int) -> None:
+        nonlocal sequence
+        at = 0
         for k, m in sorted(pattern.items(), reverse=True):
-            places.append((k, used[k], used[k] + n * m, m, sequence if whole else -1, at if whole else stream + at, size))
+            places.append((k, used[k], used[k] + n * m, m, sequence, at, LENGTH))
             used[k] += n * m
             at += k * m
-        if whole:
-            sequence += n
-        else:
-            stream += n * size
+        sequence += n
+
+    for pattern, often in generate_columns(counts):
+        if sum(k * m for k, m in pattern.items()) == LENGTH:
+            n = min([int(often + 1e-6), *((counts[k] - used[k]) // m for k, m in pattern.items() if m)])
+            if n > 0:
+                place(pattern, n)
+    for pattern, n in exhaust({k: n - used[k] for k, n in counts.items()}):
+        place(pattern, n)
     for k, n in sorted(counts.items(), reverse=True):
         if used[k] < n:
             places.append((k, used[k], n, 1, -1, stream, k))

@@ -259,6 +259,38 @@ def test_column_generation_packs_well():
     assert plan.patterns >= 100
 
 
+def test_patterns_take_nearly_all():
+    rng = random.Random(6)
+    counts = Counter(rng.randint(1, 1023) if rng.random() < 0.7 else rng.randint(1, 200) for _ in range(10_000))
+    p = packing.plan(counts)
+    total = sum(k * n for k, n in counts.items())
+    assert p.patterns * 1024 + p.stream == total and p.patterns * 1024 >= 0.95 * total
+    dealt, fill = Counter(), Counter()
+    for k, lo, hi, copies, first, at, _ in p.places:
+        dealt[k] += hi - lo
+        for t in range(hi - lo if first >= 0 else 0):
+            fill[first + t // copies] += k
+    assert dealt == counts and set(fill.values()) == {1024} and len(fill) == p.patterns
+    for _ in range(200):  # fillings are exact, within the counts, and found if there are any
+        some = Counter(rng.randint(1, 12) for _ in range(rng.randint(0, 6)))
+        room, sums = rng.randint(1, 30), {0}
+        for k, n in some.items():
+            sums |= {s + k * m for s in sums for m in range(n + 1)}
+        found = packing.exact_filling(some, room)
+        assert (found is not None) == (room in sums)
+        assert found is None or (sum(k * m for k, m in found.items()) == room and all(m <= some[k] for k, m in found.items()))
+
+
+def test_ids_as_the_library_over_random_text():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        ids = packing.Ids(f.read())
+    rng, signs = random.Random(7), "aZ9 '\t\n\r\x0b\x85\u00a0\u2028\u3000.,!-_<|>éßЖ京ا\u0301½²Ⅷ\u200d😀\U000e0001"
+    for _ in range(3000):
+        n = rng.randint(0, 40)
+        x = "".join(rng.choice(signs) if rng.random() < 0.6 else chr(rng.choice([rng.randrange(0x20, 0x3000), rng.randrange(0x10000, 0x20000)])) for _ in range(n))
+        assert list(ids.of(x)) == ids.slow().encode(x, add_special_tokens=False).ids
+
+
 def test_fingerprints(docs, texts, empty):
     out = iblt.fingerprints(docs.select("doc_id", "text")).collect()
     order = sorted({(i, t or "") for i, t in texts}, key=lambda x: (x[0] is not None, x[0] or 0))
