@@ -144,11 +144,3 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, of their edited texts, and likenesses."""
     return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
-
-
-ORACLE_EDIT = """
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS nx FROM d)
-SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars,
-       sha256(left(text, CAST(length(text) - length(text) // 2 AS BIGINT)) || left(nx, CAST(length(text) // 2 AS BIGINT))) AS edited_sha256 FROM n
-"""
