@@ -179,30 +179,31 @@ def test_csv_and_config(spark, tmp_path):
 OBS = "filename string, frame_index long, ord long, timestamp_ms long, x_min double, y_min double, x_max double, y_max double, score double, source string, text string, quality double, payloads array<string>, visual_hash string, product_name string, barcode string"
 
 
-def observation(ord_, frame, x, source="yolo", name="", barcode="", hash_="", text="", y=100.0):
-    return ("v.mp4", frame, ord_, frame * 500, x, y, x + 120.0, y + 120.0, 0.9, source, text, 100.0, [], hash_, name, barcode)
+def observation(video, ord_, frame, x, source="yolo", name="", barcode="", hash_="", text="", y=100.0):
+    return (video, frame, ord_, frame * 500, x, y, x + 120.0, y + 120.0, 0.9, source, text, 100.0, [], hash_, name, barcode)
 
 
 def ran(spark, rows, **more):
     obs = spark.createDataFrame(rows, OBS)
-    every = spark.range(0, 60).select(F.lit("v.mp4").alias("filename"), F.col("id").alias("frame_index"))
+    every = obs.select("filename").distinct().crossJoin(spark.range(0, 60).select(F.col("id").alias("frame_index")))
     return runs.run(every, obs, **more).collect()
 
 
 def test_run_from_frames_to_rows(spark):
-    first = [observation(k, k, 100.0 + k, name="Сыр", barcode="46") for k in range(3)]
-    found = ran(spark, [*first, observation(9, 1, 3000.0, name="Молоко")])
-    assert [(r.product_name, r.barcode) for r in found] == [("Сыр", "46"), ("Молоко", "")] and list(found[0].asDict()) == TAG_COLUMNS
-    # apart in time, so two tracks: one row if they carry the same code or lie alike with like looks, two if their codes differ
-    later = lambda **k: [*(observation(i, i, 100.0, **k.get("a", {})) for i in range(2)), *(observation(20 + i, 9 + i, 106.0, **k.get("b", {})) for i in range(2))]
-    assert len(ran(spark, later(a={"barcode": "46"}, b={"barcode": "46"}))) == 1
-    assert len(ran(spark, later(a={"barcode": "46"}, b={"barcode": "47"}))) == 2
-    assert len(ran(spark, later(a={"hash_": "ff00ff00ff00ff00"}, b={"hash_": "ff00ff00ff00ff01"}))) == 1
-    assert len(ran(spark, later(a={"hash_": "ff00ff00ff00ff00"}, b={"hash_": "00ff00ff00ff00ff"}))) == 2
+    n = iter(range(1000))
+    one = lambda video, frame, x, **k: observation(video, next(n), frame, x, **k)
+    # apart in time, so two tracks: one row if they carry the same code or lie alike with like looks, two if their codes or looks differ
+    later = lambda video, a, b: [*(one(video, i, 100.0, **a) for i in range(2)), *(one(video, 9 + i, 106.0, **b) for i in range(2))]
+    rows = [*(one("a", k, 100.0 + k, name="Сыр", barcode="46") for k in range(3)), one("a", 1, 3000.0, name="Молоко")]
+    rows += later("b", {"barcode": "46"}, {"barcode": "46"}) + later("c", {"barcode": "46"}, {"barcode": "47"})
+    rows += later("d", {"hash_": "ff00ff00ff00ff00"}, {"hash_": "ff00ff00ff00ff01"}) + later("e", {"hash_": "ff00ff00ff00ff00"}, {"hash_": "00ff00ff00ff00ff"})
     # proposals of fallback detectors need evidence
-    assert ran(spark, [observation(0, 0, 100.0, source="heuristic", name="Сыр")]) == []
-    assert len(ran(spark, [observation(0, 0, 100.0, source="heuristic", barcode="46")])) == 1
-    assert ran(spark, first[:2], least=3) == [] and ran(spark, []) == []
+    rows += [one("f", 0, 100.0, source="heuristic", name="Сыр"), one("g", 0, 100.0, source="heuristic", barcode="46")]
+    found = ran(spark, rows)
+    assert [(r.product_name, r.barcode) for r in found if r.filename == "a"] == [("Сыр", "46"), ("Молоко", "")] and list(found[0].asDict()) == TAG_COLUMNS
+    assert {v: sum(r.filename == v for r in found) for v in "bcdefg"} == {"b": 1, "c": 2, "d": 1, "e": 2, "f": 0, "g": 1}
+    assert [r.filename for r in found] == sorted(r.filename for r in found)
+    assert ran(spark, rows[:2], least=3) == []
 
 
 def test_group_takes_best_row_and_common_values(spark):
