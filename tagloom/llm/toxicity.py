@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, fold, slices, table, tidy
-from .words import WordTable, grams, words_of
+from .words import WordTable, words_of
 
 #: Labelled rows the model is fitted on, at most: of label 1 half of them, the rest of label 0.
 SAMPLE = 3000
@@ -54,12 +54,11 @@ def bag_of(text: str) -> list[str]:
 
 
 def buckets_of(word: str) -> np.ndarray:
-    crc, whole = zlib.crc32, f"<{word}>"
-    if word.isascii():
-        whole = whole.encode()
-        found = [crc(whole), *(crc(whole[i : i + n]) for n in range(LEAST, MOST + 1) for i in range(len(whole) - n + 1))]
-    else:
-        found = [crc(g.encode("utf-8", "surrogatepass")) for g in [whole, *grams(word, LEAST, MOST)]]
+    """Buckets of the word and of its n-grams between boundary signs; they are cut from its bytes, where characters begin."""
+    crc, raw = zlib.crc32, f"<{word}>".encode("utf-8", "surrogatepass")
+    at = range(len(raw) + 1) if word.isascii() else [i for i, b in enumerate(raw) if b & 0xC0 != 0x80] + [len(raw)]
+    n = len(at) - 1
+    found = [crc(raw), *(crc(raw[at[i] : at[i + k]]) for k in range(LEAST, MOST + 1) for i in range(n - k + 1))]
     return np.array(found, np.int64) % BUCKETS
 
 
