@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import lines, pivots, warc
+from . import doubling, lines, phrases, pivots, warc
+from .alignment import op11_alignment
 from .bpe import op10_bpe
+from .doubling import op13_doubling
 from .iblt import op9_fingerprints
 from .langid import op5_langid
 from .lines import op8_line_dedup
 from .neardup import op3_minhash
 from .packing import op7_packing
 from .passages import op6_suffix_dedup
+from .phrases import op12_phrases
 from .pivots import op4_pivot_topk
 from .toxicity import op2_toxicity
 from .warc import op1_warc
@@ -25,10 +28,15 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_bpe": op10_bpe,
+    "op11_alignment": op11_alignment,
+    "op12_phrases": op12_phrases,
+    "op13_doubling": op13_doubling,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc": warc.ORACLE,
     "op4_pivot_topk": pivots.ORACLE,
     "op8_line_dedup": lines.ORACLE,
+    "op12_phrases": phrases.ORACLE,
+    "op13_doubling": doubling.ORACLE,
 }
