@@ -149,12 +149,15 @@ def generate_columns(counts: dict[int, int], room: int = LENGTH, gap: float = GA
     for k in lengths:
         other = room - k
         basis.append(Counter({k: 1, other: 1}) if k > room // 2 and counts.get(other, 0) >= counts[k] and other in at else Counter({k: room // k}))
-    matrix = np.zeros((len(lengths), len(lengths)))
+    # its matrix has the diagonal and one more entry for each pair, whose row has no other pair in its own column: the inverse is closed.
+    # No linear-algebra library is called here: its threads can stop for good in a process that holds a session.
+    diagonal = np.array([p[k] for k, p in zip(lengths, basis, strict=True)], float)
+    inverse, x = np.diag(1 / diagonal), need / diagonal
     for j, p in enumerate(basis):
-        for k, n in p.items():
-            matrix[at[k], j] = n
-    inverse = np.linalg.inv(matrix)
-    x = inverse @ need
+        if len(p) == 2:
+            i = at[room - lengths[j]]
+            inverse[i, j] = -1 / diagonal[i]
+            x[i] -= need[j] / diagonal[i]
     least = sum(k * n for k, n in counts.items()) / room
     # rounding loses a part of a sequence for each length: no use in a closer solution than a small share of that
     slack = 0.02 * len(lengths)
@@ -170,14 +173,14 @@ def generate_columns(counts: dict[int, int], room: int = LENGTH, gap: float = GA
             break
         pattern = sack.filling(room)
         rows, copies = [at[k] for k in pattern], np.array([*pattern.values()], float)
-        step = inverse[:, rows] @ copies
+        step = (inverse[:, rows] * copies).sum(1)
         ok = step > 1e-9
         if not ok.any():
             break
         ratio = np.where(ok, x / np.where(ok, step, 1), np.inf)
         out = int(ratio.argmin())
         row = inverse[out] / step[out]
-        duals = duals + (1 - duals[rows] @ copies) * row
+        duals = duals + (1 - (duals[rows] * copies).sum()) * row
         inverse -= np.outer(step, row)
         inverse[out] = row
         x = np.maximum(x - step * ratio[out], 0)
