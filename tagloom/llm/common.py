@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -66,6 +67,32 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def stored(df: DataFrame, tag: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The same, and a function that deletes the table once nothing reads it any more. The shuffles behind it go at once."""
+    spark = df.sparkSession
+    path, schema = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", df.schema
+    with spent_shuffles(spark):
+        df.write.option("compression", "snappy").parquet(path)
+
+    def drop() -> None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    return spark.read.schema(schema).parquet(path), drop
+
+
+@contextlib.contextmanager
+def spent_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile are removed with the end of each write, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fold(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the decimal id, modulo `parts`."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % parts

@@ -30,9 +30,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .anchors import sliding_least
-from .common import bit_array, bits_for, has_bit, materialise, maybe_in, settled, slices, table, text_buffers, tidy
+from .common import bit_array, bits_for, has_bit, materialise, maybe_in, settled, slices, spent_shuffles, stored, table, text_buffers, tidy
 from .passages import print_of, spark_hash
-from .wordids import Windows, word_ids
+from .wordids import Windows, row_hash, word_ids
 
 WORDS = 13
 #: Rows and bytes of text, and words, that a worker looks at at once.
@@ -94,27 +94,36 @@ def half_windows(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(tidy(run), "key long").groupBy("key").count().where("count > 1").select("key")
 
 
-def candidates(texts: DataFrame, keys: DataFrame, words: int) -> DataFrame:
-    """a, b (128 bits), doc, tag and pos of the windows around half-length ones that may repeat."""
-    size = bits_for(keys)
-    held = texts.sparkSession.sparkContext.broadcast(bit_array(keys, "key", size))  # 32 MB at most
+def windows_at(texts: DataFrame, keys: DataFrame, words: int, names: DataFrame | None = None) -> DataFrame:
+    """a, b (128 bits), doc, tag and pos of the windows around half-length ones that may repeat; with names (a, b) only of windows that may be one of those."""
+    spark = texts.sparkSession
+    maps = [(bit_array(k, "key", n), n) for k in [keys, *([names.select(F.xxhash64("a", "b").alias("key"))] if names is not None else [])] for n in [bits_for(k)]]
+    held = spark.sparkContext.broadcast(maps)  # 32 MB each at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, tags = (batch.column(i).to_numpy() for i in (0, 1))
+            (bits, size), *second = held.value
             for row, pos, start, w in parts(batch, words):
                 _, key = anchor_keys(start, w, words)
-                keep = np.flatnonzero(has_bit(held.value, spark_hash(key) & (size - 1)))
+                keep = np.flatnonzero(has_bit(bits, spark_hash(key) & (size - 1)))
                 a, b = (w.hash(start[keep], words, k).view(np.int64) for k in (0, 1))
+                for more, n in second:
+                    ok = np.flatnonzero(has_bit(more, spark_hash(row_hash([a, b])) & (n - 1)))
+                    keep, a, b = keep[ok], a[ok], b[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, docs[row[keep]], tags[row[keep]], pos[keep].astype(np.int32))], names=["a", "b", "doc", "tag", "pos"])
 
     return texts.mapInArrow(tidy(run), "a long, b long, doc long, tag long, pos int")
 
 
-def survivors(rows: DataFrame) -> DataFrame:
-    """The windows that more than one document has; later: a smaller doc has it too."""
-    seen = rows.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("a", "b", "first")
-    return rows.join(seen, ["a", "b"]).select("a", "b", "doc", "tag", "pos", (F.col("first") < F.col("doc")).alias("later"))
+def shared_names(rows: DataFrame) -> DataFrame:
+    """a, b and first (the smallest doc) of windows that more than one document has."""
+    return rows.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("a", "b", "first")
+
+
+def survivors(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """The windows among the names; later: a smaller doc has it too."""
+    return rows.join(names, ["a", "b"]).select("a", "b", "doc", "tag", "pos", (F.col("first") < F.col("doc")).alias("later"))
 
 
 def doubled(rows: DataFrame, size: int) -> DataFrame:
@@ -125,18 +134,31 @@ def doubled(rows: DataFrame, size: int) -> DataFrame:
 
 
 def repeated(texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc, tag, at and longest: positions of the windows of a text that a smaller doc has, and the words of its last level with one."""
-    keys = materialise(half_windows(texts, words), "doubling-keys")
-    rows, size, levels = materialise(candidates(texts, keys, words), "doubling-windows"), words, []
-    while not rows.isEmpty():
-        alive = materialise(survivors(rows), "doubling-survivors")
-        levels.append((size, alive.where("later")))
-        rows, size = materialise(doubled(alive, size), "doubling-windows"), 2 * size
-    if not levels:
-        return rows.select("doc", "tag", F.array("pos").alias("at"), F.lit(0).cast("long").alias("longest"))
-    longest = reduce(DataFrame.unionByName, (x.groupBy("doc", "tag").agg(F.lit(n).cast("long").alias("longest")) for n, x in levels))
-    at = levels[0][1].groupBy("doc", "tag").agg(F.array_sort(F.collect_list("pos")).alias("at"))  # of one text
-    return at.join(longest.groupBy("doc", "tag").agg(F.max("longest").alias("longest")), ["doc", "tag"])
+    """doc, tag, at and longest: positions of the windows of a text that a smaller doc has, and the words of its last level with one.
+
+    Each level's tables are deleted as soon as the next level's stand.
+    """
+    keys, drop_keys = stored(half_windows(texts, words), "doubling-keys")
+    names, drop_names = stored(shared_names(windows_at(texts, keys, words)), "doubling-names")
+    alive, drop_alive = stored(survivors(windows_at(texts, keys, words, names), names), "doubling-windows")
+    drop_keys()
+    drop_names()
+    at = materialise(alive.where("later").groupBy("doc", "tag").agg(F.array_sort(F.collect_list("pos")).alias("at")), "doubling-at")  # of one text
+    levels, size = [materialise(at.select("doc", "tag", F.lit(words).cast("long").alias("longest")), "doubling-level")], words
+    while True:
+        rows, drop_rows = stored(doubled(alive, size), "doubling-windows")
+        drop_alive()
+        if rows.isEmpty():
+            drop_rows()
+            break
+        size *= 2
+        names, drop_names = stored(shared_names(rows), "doubling-names")
+        alive, drop_alive = stored(survivors(rows, names), "doubling-windows")
+        drop_rows()
+        drop_names()
+        levels.append(materialise(alive.where("later").groupBy("doc", "tag").agg(F.lit(size).cast("long").alias("longest")), "doubling-level"))
+    longest = reduce(DataFrame.unionByName, levels).groupBy("doc", "tag").agg(F.max("longest").alias("longest"))
+    return at.join(longest, ["doc", "tag"])
 
 
 def covered(at: np.ndarray, words: int) -> list[tuple[int, int]]:
@@ -163,7 +185,8 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, key: str = "doc_id", wit
     """key, n_words, n_removed, n_runs, longest and kept_sha256 of each row of docs (key, text); if asked, runs (first word, end) and kept, the words that stay."""
     docs = docs.select(key, "text")
     copies = copied_texts(docs, key)
-    found = settled(lambda: repeated(distinct_texts(docs, copies, key, words), words), "doubling-found")
+    with spent_shuffles(docs.sparkSession):
+        found = settled(lambda: repeated(distinct_texts(docs, copies, key, words), words), "doubling-found")
     rows = with_windows(docs, copies, found, key)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_words long, n_removed long, n_runs long, longest long, kept_sha256 string" + (", runs array<struct<b:long,e:long>>, kept string" if with_text else "")
