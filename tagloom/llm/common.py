@@ -84,13 +84,21 @@ def stored(df: DataFrame, tag: str) -> tuple[DataFrame, Callable[[], None]]:
 @contextlib.contextmanager
 def spent_shuffles(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what is written meanwhile are removed with the end of each write, not when the driver next collects garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        yield
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """These settings of the session meanwhile."""
+    before = {k: spark.conf.get(k) for k in values}
     try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def fold(doc_id: Column | str, parts: int) -> Column:

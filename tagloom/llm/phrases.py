@@ -31,14 +31,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .anchors import hash_of, prefix_hash
-from .common import bit_array, bits_for, has_bit, materialise, maybe_in, settled, slices, table, text_buffers, tidy
+from .common import bit_array, bits_for, give_back, has_bit, materialise, maybe_in, settings, settled, slices, spent_shuffles, table, text_buffers, tidy
 from .passages import spark_hash
 from .shingles import LOWER, mix
 from .wordids import pieces_of, row_hash, word_bounds
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Words of a shard, about; rows and bytes that are looked at at once.
-SHARD, ROWS, BYTES = 1_000_000, 4096, 1_000_000
+SHARD, ROWS, BYTES = 500_000, 4096, 1_000_000
+#: Rows that a shard sends at once.
+SENT = 100_000
+#: A shard's row is some megabytes: readers and workers take one at a time.
+SINGLE = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.columnarReaderBatchSize": "1"}
 BREAK, GAP = np.zeros(256, bool), np.zeros(256, bool)
 BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 GAP[[32, 9]] = True
@@ -220,8 +224,11 @@ def counted(index: DataFrame, length: int, maps: dict[int, tuple[np.ndarray, int
                 for size in range(2, length + 1):
                     p = x.extend(p, right=size % 2 == 0)
                     p = p.take(np.flatnonzero(fits(vocab[p.words], sent.value)))
-                found = vocab[p.words]
-                yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(length)), pa.array(p.n)], names=[*columns(length), "n"])
+                for at in range(0, len(p.n), SENT):
+                    found = vocab[p.words[at : at + SENT]]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(length)), pa.array(p.n[at : at + SENT])], names=[*columns(length), "n"])
+                del x, p
+                give_back()
 
     return index.select("forward", "backward", "vocab").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in [*columns(length), "n"]))
 
@@ -233,7 +240,8 @@ def frequent(docs: DataFrame, text: str, lang: str, least: int, longest: int) ->
     levels, maps = [], {}
     for length in range(1, longest + 1):
         rows = words if length == 1 else counted(index, length, maps)
-        level = materialise(rows.groupBy(*columns(length)).agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases-level")
+        with settings(docs.sparkSession, SINGLE):
+            level = materialise(rows.groupBy(*columns(length)).agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases-level")
         levels.append(level.select(F.array(*columns(length)).alias("words"), "n"))
         keys = level.select(F.xxhash64(*columns(length)).alias("key"))
         if keys.isEmpty():
@@ -292,7 +300,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: i
 
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 best phrases of two to five words of each language."""
-    return settled(lambda: collocations(table(spark, sf_dir, "documents")).drop("left_more", "right_more"), "phrases")
+    with spent_shuffles(spark):
+        return settled(lambda: collocations(table(spark, sf_dir, "documents")).drop("left_more", "right_more"), "phrases")
 
 
 ORACLE = """
