@@ -14,7 +14,6 @@ from tagloom.operators import boxes, candidates, components, fusion, runs, track
 from tagloom.schema import TAG_COLUMNS
 from tagloom.plans import fixtures as fx
 from tagloom.sources import tables
-from tagloom.streaming import tracker as st
 
 
 def one(spark, column):
@@ -109,21 +108,6 @@ def test_tracker_expires_and_splits_on_ids():
     assert k.step([(0.9, 2, box, [["47"], [], []])]) == {2: 2}
 
 
-def test_stream_as_batch(spark, tmp_path):
-    o = fx.obs(spark, "/root/testdata/sf0.001")
-    frames = o.groupBy("filename", "frame_index").agg(F.collect_list(F.struct("ord", "score", "x_min", "y_min", "x_max", "y_max")).alias("detections"))
-    for part in range(3):
-        frames.where(f"frame_index div 20 = {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{part}")
-    schema = spark.read.parquet(f"{tmp_path}/in/0").schema
-    stream = st.track_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"))
-    q = stream.writeStream.format("memory").queryName("tracked").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
-    q.processAllAvailable()
-    q.stop()
-    got = {(r.filename, r.ord, r.track_id) for r in spark.table("tracked").collect()}
-    want = {(r.filename, r.ord, r.track_id) for r in tracking.track(o, o.where("frame_index < 60")).collect()}
-    assert got == want
-
-
 def test_groups_and_merge(spark):
     base = {"filename": "a", "frame_timestamp": 0, "x_min": 0.0, "y_min": 0.0, "x_max": 100.0, "y_max": 100.0, "product_name": "Сыр", "price_default": "1", "price_card": "", "barcode": "", "qr_code_barcode": "", "id_sku": "", "code": "", "best_text": "", "visual_hash": ""}
     make = lambda *xs: spark.createDataFrame(pd.DataFrame([base | {"ord": i} | x for i, x in enumerate(xs)]))
