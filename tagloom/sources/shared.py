@@ -8,6 +8,12 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """See to it that checkpoint() has a folder."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
+
+
 def shared_folder(spark: SparkSession, tag: str) -> str:
     """A new folder's path below spark.checkpoint.dir; below a private one where that is unset and all runs in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
