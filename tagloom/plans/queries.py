@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import fields, geometry, hashes, images
+from ..functions import fields, geometry, hashes, images, likeness
 from ..functions import payloads as qr
 from ..functions import text as t
 from ..operators import boxes, candidates, components, fusion, profile, runs, tracking
@@ -224,6 +224,11 @@ def duplicate_pairs(spark, sf_dir):
     return fusion.duplicate_pairs(dedupe_rows(spark, sf_dir))
 
 
+@query("duplicate_pairs_by_words")
+def duplicate_pairs_by_words(spark, sf_dir):
+    return fusion.duplicate_pairs(dedupe_rows(spark, sf_dir), kind="token_set")
+
+
 @query("row_groups")
 def row_groups(spark, sf_dir):
     rows = dedupe_rows(spark, sf_dir)
@@ -549,7 +554,17 @@ def merged_payloads(spark, sf_dir):
 @query("text_likeness")
 def text_likeness(spark, sf_dir):
     p = fx.read(spark, sf_dir, "part").select("p_partkey", t.normalize_for_similarity(F.col("p_name")).alias("a"), t.normalize_for_similarity(F.col("p_type")).alias("b"))
-    return p.select("p_partkey", F.round(fusion.text_similarity("a", "b"), 9).alias("likeness"))
+    return p.select("p_partkey", F.round(likeness.similarity()("a", "b"), 9).alias("likeness"))
+
+
+@query("token_likeness")
+def token_likeness(spark, sf_dir):
+    """Likeness by words of each part's name with its neighbour's, and with its own in another order and shortened."""
+    p = fx.read(spark, sf_dir, "part").select("p_partkey", t.normalize_for_similarity(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("a"))
+    near = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b"))
+    own = F.array_join(F.slice(F.reverse(F.split("a", " ")), 1, 3), " ")
+    alike = likeness.similarity("token_set")
+    return p.join(near, "p_partkey").select("p_partkey", F.round(alike("a", "b"), 9).alias("likeness"), F.round(alike("a", own), 9).alias("to_own"))
 
 
 # --- hashes and pixels
