@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as t
 from ..schema import COMPARED_COLUMNS
+from . import quantiles
 
 
 def describe(rows: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """A row for each column (and keys): min, tenths, median, max and mean, interpolated, three decimals."""
     keys = keys or []
     long = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select(*keys, "x.name", "x.v").where("v IS NOT NULL")
-    q = F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = long.groupBy(*keys, "name").agg(F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"), F.avg("v").alias("mean"))
-    third = lambda c: F.round(c, 3)
-    return out.select(*keys, "name", third(F.col("min")).alias("min"), *(third(F.col("q")[i]).alias(n) for i, n in enumerate(("p10", "p50", "p90"))), third(F.col("max")).alias("max"), third(F.col("mean")).alias("mean"))
+    ends = long.groupBy(F.struct(*keys, "name").alias("g")).agg(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"))
+    at = lambda n, s: F.max(F.when(F.col("share") == s, F.col("value"))).alias(n)
+    tenths = quantiles.quantiles(rows, keys, columns, [0.1, 0.5, 0.9]).groupBy(F.struct(*keys, "name").alias("g")).agg(at("p10", 0.1), at("p50", 0.5), at("p90", 0.9))
+    return ends.join(tenths, "g").select("g.*", *(F.round(c, 3).alias(c) for c in ("min", "p10", "p50", "p90", "max", "mean")))
 
 
 def fill_rate(rows: DataFrame, columns: list[str]) -> DataFrame:

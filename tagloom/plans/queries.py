@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fields, geometry, hashes, images, likeness
 from ..functions import payloads as qr
 from ..functions import text as t
-from ..operators import boxes, candidates, components, fusion, profile, runs, tracking
+from ..operators import boxes, candidates, components, fusion, profile, quantiles, runs, tracking
 from ..sources import tables
 from . import fixtures as fx
 
@@ -415,7 +415,9 @@ def track_debug(spark, sf_dir):
 
 @query("median_time_and_span", fx.TRACK_ROWS + "SELECT track_id, quantile_cont(timestamp_ms, 0.5) AS median, greatest(1000.0, max(timestamp_ms) - min(timestamp_ms))::DOUBLE AS span FROM tr GROUP BY track_id")
 def median_time_and_span(spark, sf_dir):
-    return fx.track_rows(spark, sf_dir).groupBy("track_id").agg(F.percentile("timestamp_ms", F.lit(0.5)).alias("median"), F.greatest(F.lit(1000.0), (F.max("timestamp_ms") - F.min("timestamp_ms")).cast("double")).alias("span"))
+    rows = fx.track_rows(spark, sf_dir)
+    span = rows.groupBy("track_id").agg(F.greatest(F.lit(1000.0), (F.max("timestamp_ms") - F.min("timestamp_ms")).cast("double")).alias("span"))
+    return quantiles.quantile_columns(rows, ["track_id"], "timestamp_ms", {"median": 0.5}).join(span, "track_id")
 
 
 @query("id_sets", fx.TRACK_ROWS + "SELECT track_id, coalesce(array_to_string(list_sort(list_distinct(list(barcode) FILTER (WHERE barcode <> ''))), ','), '') AS ids FROM tr GROUP BY track_id")
@@ -436,7 +438,8 @@ def module_boxes(spark, sf_dir):
 
 @query("background_level", fx.OBS + "SELECT filename, round(quantile_cont(CAST(cents % 256 AS DOUBLE), 0.88), 6) AS level FROM obs GROUP BY filename")
 def background_level(spark, sf_dir):
-    return fx.obs(spark, sf_dir).groupBy("filename").agg(F.round(F.percentile((F.col("cents") % 256).cast("double"), F.lit(0.88)), 6).alias("level"))
+    rows = fx.obs(spark, sf_dir).select("filename", (F.col("cents") % 256).alias("level"))
+    return quantiles.quantile_columns(rows, ["filename"], "level", {"level": 0.88}).withColumn("level", F.round("level", 6))
 
 
 @query("area_sample", fx.OBS + """, n AS (SELECT filename, ord, row_number() OVER (PARTITION BY filename ORDER BY (x_max - x_min) * (y_max - y_min), ord) - 1 AS i, count(*) OVER (PARTITION BY filename) AS n FROM obs)
