@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fields, geometry, hashes, images, likeness
 from ..functions import payloads as qr
 from ..functions import text as t
-from ..operators import boxes, candidates, components, fusion, profile, quantiles, runs, tracking
+from ..operators import boxes, candidates, components, fusion, masks, profile, quantiles, runs, tracking
 from ..sources import tables
 from . import fixtures as fx
 
@@ -637,6 +637,35 @@ def candidate_scores(spark, sf_dir):
     return c.where(candidates.red_white_ok(F.col("box"), w, h, red, white, edge)).select("ord", "k", F.round(candidates.red_white_score(F.col("box"), w, h, red, white, edge), 6).alias("score"))
 
 
+def painted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture of each embedding: grey, with two white tags that have a red panel and dark lines, placed and sized by its values."""
+    height, width = 192, 256
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for v in batch.embedding:
+                v = np.abs(np.nan_to_num(np.asarray(v, float)))
+                x = np.full((height, width, 3), (90, 95, 100), np.uint8)
+                for k in (0, 8):
+                    a, b, c, d = (int(q * 997) for q in np.resize(v, 16)[k : k + 4])
+                    y, z, h, w = a % 120, b % 170, 36 + c % 30, 44 + d % 36
+                    x[y : y + h, z : z + w] = 235
+                    x[y : y + h, z : z + w // 3] = (30, 30, 190 + a % 60)
+                    x[y + 6 : y + h - 4 : 5, z + w // 2 : z + w - 4] = 25
+                out.append(x.tobytes())
+            yield pd.DataFrame({"picture": batch.vec_id, "height": height, "width": width, "pixels": out}).astype({"height": "int32", "width": "int32"})
+
+    return fx.read(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL AND size(embedding) > 0").select("vec_id", "embedding").mapInPandas(run, "picture long, height int, width int, pixels binary")
+
+
+@query("pixel_candidates")
+def pixel_candidates(spark, sf_dir):
+    """Candidates of tags from the pixels of pictures in tiles: masks, regions across tiles, shares of colours, scores."""
+    c = masks.tag_candidates(masks.tiles(painted(spark, sf_dir), 128), 128)
+    return c.select("picture", *(F.round(f"box.{s}", 6).alias(s) for s in ("x_min", "y_min", "x_max", "y_max")), F.round("score", 6).alias("score"))
+
+
 @query("colour_candidates", fx.OBS + """, p AS (SELECT ord, cents, x_min, y_min, x_max, y_max, x_max - x_min AS w, y_max - y_min AS h, (x_max - x_min) * (y_max - y_min) * (cents % 10) / 10.0::DOUBLE AS area, (cents % 9) / 100.0::DOUBLE AS edge FROM obs),
 q AS (SELECT *, floor(greatest(14.0, least(110.0, w * 0.70::DOUBLE))) AS px, floor(greatest(12.0, least(115.0, h * 0.85::DOUBLE))) AS py FROM p WHERE area BETWEEN 900 AND 30000 AND w >= 8 AND h >= 8 AND w / greatest(1.0, h) BETWEEN 0.18 AND 6.0 AND area / greatest(1.0, w * h) >= 0.10),
 r AS (SELECT *, greatest(0, least(3839, x_min - px)) AS x1, greatest(0, least(2159, y_min - py)) AS y1, greatest(0, least(3839, x_max + px)) AS x2, greatest(0, least(2159, y_max + py)) AS y2 FROM q)
