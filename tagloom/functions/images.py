@@ -73,18 +73,41 @@ def color_boxes(image: np.ndarray, least_area: int = 20) -> list[tuple[int, int,
     return out
 
 
+LEAST_PART = 8  # fixed value
+
+
+def box_sums(x: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Sum of every h x w part, by summed areas."""
+    s = np.pad(x, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+    return s[h:, w:] - s[:-h, w:] - s[h:, :-w] + s[:-h, :-w]
+
+
+def match_scores(search: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Normalised cross-correlation of a part with every place of its size in a picture: a product of Fourier transforms, norms by summed areas.
+
+    0 where either has no contrast.
+    """
+    h, w = part.shape
+    part, search = part - part.mean(), search - search.mean()
+    shape = [2 ** int(np.ceil(np.log2(n))) for n in search.shape]
+    both = np.fft.irfft2(np.fft.rfft2(search, shape) * np.conj(np.fft.rfft2(part, shape)), shape)[: search.shape[0] - h + 1, : search.shape[1] - w + 1]
+    spread = box_sums(search * search, h, w) - box_sums(search, h, w) ** 2 / (h * w)
+    norm = np.sqrt(np.maximum(spread, 0.0) * (part * part).sum())
+    flat = norm <= 1e-6 * h * w
+    return np.where(flat, 0.0, both / np.where(flat, 1.0, norm))
+
+
 def template_shift(before: np.ndarray, after: np.ndarray, box: tuple[int, int, int, int], reach: int = 80) -> tuple[tuple[int, int, int, int], float]:
-    """Where the part in `box` has moved to, by normalised cross-correlation, and how well it fits."""
-    x1, y1, x2, y2 = box
-    a = gray(before)[y1:y2, x1:x2]
-    a = a - a.mean()
-    b, best = gray(after), (box, -1.0)
-    for dy in range(max(-reach, -y1), min(reach, b.shape[0] - y2) + 1):
-        for dx in range(max(-reach, -x1), min(reach, b.shape[1] - x2) + 1):
-            c = b[y1 + dy : y2 + dy, x1 + dx : x2 + dx]
-            c = c - c.mean()
-            norm = np.sqrt((a * a).sum() * (c * c).sum())
-            score = float((a * c).sum() / norm) if norm > 0 else 0.0
-            if score > best[1]:
-                best = ((x1 + dx, y1 + dy, x2 + dx, y2 + dy), score)
-    return best
+    """Where the part in `box` (clipped to the picture) has moved to within `reach`, and how well it fits; the first of equally good places, row by row.
+
+    Parts of fewer than LEAST_PART pixels on a side stay where they are and fit 0.
+    """
+    h, w = before.shape[:2]
+    (x1, x2), (y1, y2) = (sorted(min(max(0, v), n - 1) for v in vs) for vs, n in ((box[::2], w), (box[1::2], h)))
+    if min(x2 - x1, y2 - y1) < LEAST_PART or after.shape[:2] != (h, w):
+        return box, 0.0
+    top, left = max(0, y1 - reach), max(0, x1 - reach)
+    area = gray(after)[top : min(h, y2 + reach), left : min(w, x2 + reach)]
+    scores = np.round(match_scores(area, gray(before)[y1:y2, x1:x2]), 9)
+    dy, dx = np.unravel_index(int(scores.argmax()), scores.shape)
+    return (left + int(dx), top + int(dy), left + int(dx) + x2 - x1, top + int(dy) + y2 - y1), float(scores[dy, dx])
