@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, hashes
-from ..operators import propagation
+from ..operators import ensemble, propagation
 from ..schema import TAG_COLUMNS
 from ..sources import named, video
 from ..sources.shared import shared_folder
@@ -129,6 +129,29 @@ def track_documents(spark, sf_dir):
     return back.groupBy(F.concat("filename", F.lit(".json")).alias("path")).agg(F.count("*").alias("rows"), F.sum(total).alias("total_ms"))
 
 
+# --- detectors of which some fail
+
+
+def middle_box(width: float) -> ensemble.Detector:
+    """A stand-in detector: a box of this width in each frame, its place from the frame's number."""
+    return lambda f: f.assign(x_min=f.frame_index % 50, y_min=0.0, x_max=f.frame_index % 50 + width, y_max=10.0, score=(f.frame_index % 10) / 10)
+
+
+def broken() -> ensemble.Detector:
+    raise OSError("no weights")
+
+
+@query("guarded_detections", fx.OBS + """, fr AS (SELECT DISTINCT filename, frame_index FROM obs)
+SELECT 'full' AS source, count(*) AS n, round(sum((frame_index % 10) / 10.0::DOUBLE), 6) AS score, 0 AS frames_lost FROM fr
+UNION ALL SELECT 'zone', count(*), round(sum((frame_index % 10) / 10.0::DOUBLE * 0.97::DOUBLE), 6), 0 FROM fr UNION ALL SELECT 'broken', 0, 0.0, count(*) FROM fr""")
+def guarded_detections(spark, sf_dir):
+    """Sums over the detections of three detectors, one of which can't be made: the others' stand, and the frames it didn't see are told."""
+    frames = fx.obs(spark, sf_dir).select("filename", "frame_index").distinct()
+    found, lost = ensemble.detections(frames, {"full": lambda: middle_box(20.0), "zone": lambda: middle_box(9.0), "broken": broken}, weights={"zone": 0.97})
+    sums = found.groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"), F.lit(0).cast("long").alias("frames_lost"))
+    return sums.unionByName(lost.groupBy("source").agg(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("score"), F.sum("frames_lost").alias("frames_lost")))
+
+
 # --- labels carried along
 
 
