@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import fields, geometry, hashes, images, likeness
+from ..functions import contrast, fields, geometry, hashes, images, likeness
 from ..functions import payloads as qr
 from ..functions import text as t
 from ..operators import boxes, candidates, components, fusion, masks, profile, quantiles, runs, tracking
@@ -666,6 +666,23 @@ def pixel_candidates(spark, sf_dir):
     return c.select("picture", *(F.round(f"box.{s}", 6).alias(s) for s in ("x_min", "y_min", "x_max", "y_max")), F.round("score", 6).alias("score"))
 
 
+@query("contrast_variants")
+def contrast_variants(spark, sf_dir):
+    """Mean and spread of every variant that a code reader is given of each picture."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                x = np.rint(images.gray(np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3))).astype(np.uint8)
+                out += [(r.picture, name, *v.shape, round(float(v.mean()), 6), round(float(v.std()), 6)) for name, v in contrast.variants(x).items()]
+            yield pd.DataFrame(out, columns=["picture", "variant", "height", "width", "mean", "spread"])
+
+    # few bytes, much work
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return painted(spark, sf_dir).repartition(n, "picture").mapInPandas(run, "picture long, variant string, height int, width int, mean double, spread double")
+
+
 @query("colour_candidates", fx.OBS + """, p AS (SELECT ord, cents, x_min, y_min, x_max, y_max, x_max - x_min AS w, y_max - y_min AS h, (x_max - x_min) * (y_max - y_min) * (cents % 10) / 10.0::DOUBLE AS area, (cents % 9) / 100.0::DOUBLE AS edge FROM obs),
 q AS (SELECT *, floor(greatest(14.0, least(110.0, w * 0.70::DOUBLE))) AS px, floor(greatest(12.0, least(115.0, h * 0.85::DOUBLE))) AS py FROM p WHERE area BETWEEN 900 AND 30000 AND w >= 8 AND h >= 8 AND w / greatest(1.0, h) BETWEEN 0.18 AND 6.0 AND area / greatest(1.0, w * h) >= 0.10),
 r AS (SELECT *, greatest(0, least(3839, x_min - px)) AS x1, greatest(0, least(2159, y_min - py)) AS y1, greatest(0, least(3839, x_max + px)) AS x2, greatest(0, least(2159, y_max + py)) AS y2 FROM q)
