@@ -540,14 +540,17 @@ def parsed_tags(spark, sf_dir):
     return fx.tag_text(spark, sf_dir).select("ord", row.alias("r")).select("ord", "r.*")
 
 
-@query("payload_fields", fx.PAYLOADS + """SELECT ord, CASE dialect WHEN 1 THEN gtin ELSE code END AS qr_code_barcode, CASE WHEN dialect IN (2, 3) THEN price ELSE '' END AS price1_qr, CASE WHEN dialect = 5 THEN (c // 100) || '.25' ELSE '' END AS price2_qr,
- CASE WHEN dialect = 4 THEN (c // 100) || '.50' ELSE '' END AS price4_qr, CASE WHEN dialect = 3 THEN 'A ' || (ord % 9) ELSE '' END AS action_code_qr FROM pay""")
+PAYLOAD_FIELDS = """SELECT ord, CASE dialect WHEN 1 THEN gtin ELSE code END AS qr_code_barcode, CASE WHEN dialect IN (2, 3) THEN price ELSE '' END AS price1_qr, CASE WHEN dialect = 5 THEN (c // 100) || '.25' ELSE '' END AS price2_qr,
+ CASE WHEN dialect = 4 THEN (c // 100) || '.50' ELSE '' END AS price4_qr, CASE WHEN dialect = 3 THEN 'A ' || (ord % 9) ELSE '' END AS action_code_qr FROM pay"""
+
+
+@query("payload_fields", fx.PAYLOADS + PAYLOAD_FIELDS)
 def payload_fields(spark, sf_dir):
     m = fx.payloads(spark, sf_dir).select("ord", qr.parse_payload(F.col("payload")).alias("m"))
     return m.select("ord", *(F.coalesce(F.element_at("m", c), F.lit("")).alias(c) for c in ("qr_code_barcode", "price1_qr", "price2_qr", "price4_qr", "action_code_qr")))
 
 
-@query("merged_payloads")
+@query("merged_payloads", fx.PAYLOADS + f", pf AS ({PAYLOAD_FIELDS}) SELECT ord // 4 AS g, bool_or(ord % 6 IN (0, 3)) AS structured, " + ", ".join(f"coalesce(arg_min({c}, ord) FILTER ({c} <> ''), 'нет') AS {c}" for c in ("qr_code_barcode", "price1_qr", "price4_qr", "action_code_qr")) + " FROM pf GROUP BY ALL")
 def merged_payloads(spark, sf_dir):
     p = fx.payloads(spark, sf_dir).groupBy(F.expr("ord div 4").alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "payload"))), lambda x: x["payload"]).alias("ps"))
     m = qr.with_absent(qr.parse_payloads(F.col("ps")), F.col("ps"))
