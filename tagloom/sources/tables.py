@@ -77,20 +77,32 @@ def sample_frames(frames: DataFrame, fps: Column, sample_fps: float, min_sharpne
     return kept.withColumn("__r", F.row_number().over(Window.partitionBy("filename").orderBy("frame_index"))).where(F.col("__r") <= max_frames).drop("__r")
 
 
-def nearest_frame(asked: DataFrame, frames: DataFrame) -> DataFrame:
-    """asked (filename, ts) with the frame of nearest time, the earlier of equally near ones: two as-of lookups by window."""
+def nearest_frame(asked: DataFrame, frames: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
+    """asked (filename, ts) with the frame of nearest time, the earlier of equally near ones.
+
+    Time is cut into buckets. Within a bucket two windows find the frames on either side; where it has none, the last frame
+    of the buckets before and the first of those behind are carried in by a table with a row for each bucket. So a task
+    sorts one bucket of a video, not the video.
+    """
     from pyspark.sql import Window
 
-    both = frames.select("filename", F.col("timestamp_ms").alias("t"), F.col("timestamp_ms").alias("f"), F.lit(0).alias("ask")).unionByName(asked.select("filename", F.col("ts").alias("t"), F.lit(None).cast("long").alias("f"), F.lit(1).alias("ask")))
-    running = lambda *order: F.last("f", True).over(Window.partitionBy("filename").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    before, after = running("t", "ask"), running(F.desc("t"), "ask")
-    met = both.withColumns({"p": before, "n": after}).where("ask = 1")
+    bucket = F.floor(F.col("t") / bucket_ms).alias("bucket")
+    times = frames.select("filename", F.col("timestamp_ms").alias("t")).withColumn("bucket", bucket)
+    wanted = asked.select("filename", F.col("ts").alias("t")).withColumn("bucket", bucket)
+    ends = times.groupBy("filename", "bucket").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    every = ends.unionByName(wanted.select("filename", "bucket", *(F.lit(None).cast("long").alias(c) for c in ("lo", "hi")))).groupBy("filename", "bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    order = Window.partitionBy("filename").orderBy("bucket")  # a row for each bucket
+    carried = every.select("filename", "bucket", F.last("hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("lo", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("behind"))
+    both = times.select("filename", "bucket", "t", F.col("t").alias("f"), F.lit(0).alias("ask")).unionByName(wanted.select("filename", "bucket", "t", F.lit(None).cast("long").alias("f"), F.lit(1).alias("ask")))
+    running = lambda *order: F.last("f", True).over(Window.partitionBy("filename", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumns({"p": running("t", "ask"), "n": running(F.desc("t"), "ask")}).where("ask = 1").join(carried, ["filename", "bucket"])
+    met = met.withColumns({"p": F.coalesce("p", "before"), "n": F.coalesce("n", "behind")})
     near = F.when(F.col("p").isNull(), F.col("n")).when(F.col("n").isNull(), F.col("p")).when(F.col("t") - F.col("p") <= F.col("n") - F.col("t"), F.col("p")).otherwise(F.col("n"))
     return met.select("filename", F.col("t").alias("ts"), near.alias("frame_ts"))
 
 
 def read_config(path: str | None) -> dict:
-    """Settings of a JSON or YAML file; {} if there is none; simple "key: value" lines where no YAML reader is installed."""
+    """Settings of a JSON or YAML file; {} if there is none. Where no YAML reader is installed, plain "key: value" lines are read; nested ones are refused."""
     if not path or not os.path.exists(path):
         return {}
     with open(path, encoding="utf-8") as f:
@@ -102,7 +114,10 @@ def read_config(path: str | None) -> dict:
 
         return yaml.safe_load(text) or {}
     except ImportError:
-        return {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in text.splitlines()) if v.strip()}
+        lines = [x for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#")]
+        if any(x[0] in " \t-" or ":" not in x for x in lines):
+            raise ValueError(f"{path}: nested settings need a YAML reader") from None
+        return {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines) if v.strip()}
 
 
 def env_flag(env: Mapping[str, str], name: str, default: bool) -> bool:
