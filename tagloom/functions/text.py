@@ -103,11 +103,11 @@ def barcodes(text: Column) -> Column:
 
 def matches(text: Column, pattern: str, groups: int) -> Column:
     """array<struct(a, b, g1..)>: start, end and groups of each match, in order."""
-    whole = F.lit(f"(?s)(.*?)({pattern})")
-    part = lambda i: F.regexp_extract_all(text, whole, F.lit(i))
+    part = lambda i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
+    # what lies between matches gives their places
     names = ["before", "hit", *(f"g{i + 1}" for i in range(groups))]
-    zipped = F.arrays_zip(*(part(i + 1).alias(n) for i, n in enumerate(names)))
-    zipped = F.transform(zipped, lambda z: F.struct(*(z[n].alias(n) for n in names)))
+    zipped = F.arrays_zip(F.split(text, pattern).alias("before"), *(part(i).alias(n) for i, n in enumerate(names[1:])))
+    zipped = F.filter(F.transform(zipped, lambda z: F.struct(*(z[n].alias(n) for n in names))), lambda z: z["hit"].isNotNull())
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<a:int,b:int{''.join(f',g{i + 1}:string' for i in range(groups))}>>").alias("out"))
 
     def step(s: Column, z: Column) -> Column:
