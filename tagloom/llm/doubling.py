@@ -218,15 +218,27 @@ def op13_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-ORACLE = """
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents),
+def levels_sql(n: int = 14) -> str:
+    """The levels of doubling as tables a0, a1, ... and the longest one of each row."""
+    levels = ["a0 AS MATERIALIZED (SELECT k.r, k.doc_id, k.i, k.h, f.first FROM k JOIN f USING (h))"]
+    for i in range(1, n):
+        levels.append(f"p{i} AS MATERIALIZED (SELECT x.r, x.doc_id, x.i, md5(x.h || y.h) AS h FROM a{i - 1} x JOIN a{i - 1} y ON x.r = y.r AND y.i = x.i + {WORDS << i - 1})")
+        levels.append(f"a{i} AS MATERIALIZED (SELECT p.*, f.first FROM p{i} p JOIN (SELECT h, min(doc_id) AS first FROM p{i} GROUP BY h HAVING min(doc_id) < max(doc_id)) f USING (h))")
+    told = " UNION ALL ".join(f"SELECT r, {WORDS << i} AS size FROM a{i} WHERE first < doc_id" for i in range(n))
+    return ",\n".join([*levels, f"l AS (SELECT r, max(size) AS longest FROM ({told}) GROUP BY r)"])
+
+
+ORACLE = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') AS w FROM documents),
 x AS (SELECT r, doc_id, len(w) AS n, unnest(generate_series(1, CAST(len(w) AS BIGINT) - 12)) AS i, w FROM d WHERE len(w) >= 13),
-k AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM x),
-f AS (SELECT h, min(doc_id) AS first FROM k GROUP BY h HAVING min(doc_id) < max(doc_id)),
-g AS (SELECT DISTINCT k.r, k.i + s.j AS p FROM k JOIN f USING (h), generate_series(0, 12) s(j) WHERE f.first < k.doc_id),
+k AS MATERIALIZED (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM x),
+f AS MATERIALIZED (SELECT h, min(doc_id) AS first FROM k GROUP BY h HAVING min(doc_id) < max(doc_id)),
+{levels_sql()},
+g AS MATERIALIZED (SELECT DISTINCT a0.r, a0.i + s.j AS p FROM a0, generate_series(0, 12) s(j) WHERE a0.first < a0.doc_id),
 o AS (SELECT d.r, unnest(generate_series(1, CAST(len(w) AS BIGINT))) AS p, unnest(w) AS word FROM d),
-t AS (SELECT o.r, count(*) AS n_words, count(g.p) AS n_removed, coalesce(string_agg(o.word, ' ' ORDER BY o.p) FILTER (WHERE g.p IS NULL), '') AS kept
-      FROM o LEFT JOIN g ON o.r = g.r AND o.p = g.p GROUP BY o.r)
-SELECT d.doc_id, CAST(coalesce(t.n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(t.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
-FROM d LEFT JOIN t ON d.r = t.r
+t AS (SELECT o.r, count(*) AS n_words, count(g.p) AS n_removed, count(g.p) FILTER (WHERE b.p IS NULL) AS n_runs, coalesce(string_agg(o.word, ' ' ORDER BY o.p) FILTER (WHERE g.p IS NULL), '') AS kept
+      FROM o LEFT JOIN g ON o.r = g.r AND o.p = g.p LEFT JOIN g b ON o.r = b.r AND o.p = b.p + 1 GROUP BY o.r)
+SELECT d.doc_id, CAST(coalesce(t.n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(t.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.n_runs, 0) AS BIGINT) AS n_runs,
+  CAST(coalesce(l.longest, 0) AS BIGINT) AS longest, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM d LEFT JOIN t ON d.r = t.r LEFT JOIN l ON d.r = l.r
 """
