@@ -108,8 +108,15 @@ def chosen_regions(regions: DataFrame, key: str, most: int = MOST_REGIONS) -> Da
 
 
 def recovered_sources(kept: DataFrame, found: DataFrame, keys: list[str], within: float = 4.0) -> DataFrame:
-    """kept with the source of the best-scored found box whose sides differ by less than `within` in sum."""
-    f = found.select(*keys, F.col("box").alias("__b"), F.col("source").alias("__s"), F.col("score").alias("__c"), F.col("ord").alias("__o"))
+    """kept with the source of the best-scored found box whose sides differ by less than `within` in sum.
+
+    Of equal found boxes only the best counts; left sides meet in cells along the shelf.
+    """
+    rank = F.struct(F.col("score").alias("c"), (-F.col("ord")).alias("o"))
+    f = found.groupBy(*keys, F.col("box").alias("__b")).agg(F.max_by("source", rank).alias("__s"), F.max(rank).alias("__c"))
+    size = max(64.0, within)
+    at = lambda x: F.floor(x / size)
+    k = kept.withColumn("__cell", F.explode(F.sequence(at(F.col("box.x_min") - within), at(F.col("box.x_min") + within))))
     apart = sum((F.abs(F.col(f"box.{c}") - F.col(f"__b.{c}")) for c in ("x_min", "y_min", "x_max", "y_max")), F.lit(0.0))
-    best = F.max_by("__s", F.struct("__c", -F.col("__o"))).alias("source")
-    return kept.join(f, keys).where(apart < within).groupBy(*keys, "ord").agg(best)
+    met = k.join(f.withColumn("__cell", at(F.col("__b.x_min"))), [*keys, "__cell"]).where(apart < within)
+    return met.groupBy(*keys, "ord").agg(F.max_by("__s", "__c").alias("source"))
