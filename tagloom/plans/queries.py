@@ -644,12 +644,18 @@ def candidate_scores(spark, sf_dir):
     return c.where(candidates.red_white_ok(F.col("box"), w, h, red, white, edge)).select("ord", "k", F.round(candidates.red_white_score(F.col("box"), w, h, red, white, edge), 6).alias("score"))
 
 
+#: Pictures that a task paints before it sends them on.
+PICTURES = 32
+
+
 def painted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A picture of each embedding: grey, with two white tags that have a red panel and dark lines, placed and sized by its values."""
     height, width = 192, 256
+    # few bytes, much work
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.iloc[i : i + PICTURES] for b in batches for i in range(0, len(b), PICTURES)):
             out = []
             for v in batch.embedding:
                 v = np.abs(np.nan_to_num(np.asarray(v, float)))
@@ -663,7 +669,7 @@ def painted(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append(x.tobytes())
             yield pd.DataFrame({"picture": batch.vec_id, "height": height, "width": width, "pixels": out}).astype({"height": "int32", "width": "int32"})
 
-    return fx.read(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL AND size(embedding) > 0").select("vec_id", "embedding").mapInPandas(run, "picture long, height int, width int, pixels binary")
+    return fx.read(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL AND size(embedding) > 0").select("vec_id", "embedding").repartition(n, "vec_id").mapInPandas(run, "picture long, height int, width int, pixels binary")
 
 
 @query("pixel_candidates")
@@ -685,9 +691,7 @@ def contrast_variants(spark, sf_dir):
                 out += [(r.picture, name, *v.shape, round(float(v.mean()), 6), round(float(v.std()), 6)) for name, v in contrast.variants(x).items()]
             yield pd.DataFrame(out, columns=["picture", "variant", "height", "width", "mean", "spread"])
 
-    # few bytes, much work
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return painted(spark, sf_dir).repartition(n, "picture").mapInPandas(run, "picture long, variant string, height int, width int, mean double, spread double")
+    return painted(spark, sf_dir).mapInPandas(run, "picture long, variant string, height int, width int, mean double, spread double")
 
 
 @query("colour_candidates", fx.OBS + """, p AS (SELECT ord, cents, x_min, y_min, x_max, y_max, x_max - x_min AS w, y_max - y_min AS h, (x_max - x_min) * (y_max - y_min) * (cents % 10) / 10.0::DOUBLE AS area, (cents % 9) / 100.0::DOUBLE AS edge FROM obs),
