@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import geometry
-from tagloom.operators import boxes, candidates, propagation, tracking
+from tagloom.operators import boxes, candidates, fusion, propagation, tracking
 
 N = 30_000
 
@@ -80,3 +80,19 @@ def test_equal_boxes_move_once(monkeypatch):
     out = propagation.chain({0: "x", 1: "y"}, 0, held, 1, 4, 0.5)
     assert len(asked) == 3
     assert {(o, b) for _, o, b, _ in out} == {(i, (i % 3 + 1, 0, 20, 20)) for i in range(300)}
+
+
+def test_meeting_by_hashes(spark):
+    """Rows that meet through their distinct hashes are those that meet and have like hashes, each pair once."""
+    r = (F.xxhash64("id") % 1000 + 1000) % 1000
+    rows = spark.range(400).select(
+        F.col("id").alias("ord"), F.when(F.col("id") % 5 == 0, "w").otherwise("v").alias("filename"), (r * 37).alias("frame_timestamp"), (F.col("id") * 300.0).alias("x_min"), (r % 500).cast("double").alias("y_min"), (F.col("id") * 300.0 + 100).alias("x_max"), (r % 500 + 200.0).alias("y_max"),
+        *(F.lit("").alias(c) for c in ("product_name", "price_default", "price_card", "barcode", "qr_code_barcode", "id_sku", "code", "best_text")),
+        F.when(F.col("id") % 11 != 0, F.substring(F.lpad(F.hex(F.col("id") % 60 * 77), 16, "f"), 1, F.when(F.col("id") % 7 == 0, 15).otherwise(16))).alias("visual_hash"),
+    )
+    slim = fusion.comparable(rows)
+    cells = fusion.cells_between(F.col("box.y_min"), F.col("box.y_max"), 128.0)
+    pairs = lambda df: sorted((r.a, r.b) for r in df.select(F.col("x.ord").alias("a"), F.col("y.ord").alias("b")).collect())
+    close = (F.col("x.digits") == F.col("y.digits")) & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= 3)
+    want = pairs(fusion.meet(slim, 12000, cells).where(close))
+    assert len(want) > 300 and pairs(fusion.meet(slim, 12000, cells, 3)) == want
