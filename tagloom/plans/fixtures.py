@@ -36,7 +36,9 @@ def with_box(df: DataFrame) -> DataFrame:
 
 def tag_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ord and lines of made-up tags, from part: prices in three spellings, discount, print time, zone, codes."""
-    p = read(spark, sf_dir, "part").selectExpr("p_partkey AS k", "p_name", "cast(round(p_retailprice * 100) AS bigint) AS c")
+    # few bytes, much work: a file is read by one task or two
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = read(spark, sf_dir, "part").repartition(n, "p_partkey").selectExpr("p_partkey AS k", "p_name", "cast(round(p_retailprice * 100) AS bigint) AS c")
     return p.selectExpr(
         "k AS ord",
         """array(concat('Молоко ', p_name, CASE WHEN k % 5 = 0 THEN '  сухое' ELSE '' END),

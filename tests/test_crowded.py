@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import geometry
 from tagloom.operators import boxes, candidates, fusion, propagation, tracking
+from tagloom.plans import fixtures as fx
 
 N = 30_000
 
@@ -96,3 +97,8 @@ def test_meeting_by_hashes(spark):
     close = (F.col("x.digits") == F.col("y.digits")) & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= 3)
     want = pairs(fusion.meet(slim, 12000, cells).where(close))
     assert len(want) > 300 and pairs(fusion.meet(slim, 12000, cells, 3)) == want
+
+
+def test_tag_texts_are_dealt_out(spark):
+    """The table of parts is one small file; its texts are parsed by as many tasks as a shuffle has."""
+    assert fx.tag_text(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
