@@ -87,6 +87,7 @@ def is_structured(payloads: Column) -> Column:
 def with_absent(fields: Column, payloads: Column) -> Column:
     """If anything was decoded, payload fields that it doesn't give are known to be absent."""
     unset = F.map_from_arrays(F.array(*map(F.lit, PAYLOAD_KEYS)), F.array(*[F.lit(ABSENT)] * len(PAYLOAD_KEYS)))
-    return F.when(F.size(payloads) > 0, F.map_concat(fields, F.map_filter(unset, lambda k, _: ~F.map_contains_key(fields, k)))).otherwise(fields)
+    # the fields are worked out once, not anew for each key of the filter
+    return let(fields, lambda m: F.when(F.size(payloads) > 0, F.map_concat(m, F.map_filter(unset, lambda k, _: ~F.map_contains_key(m, k)))).otherwise(m))
 
 

@@ -34,11 +34,14 @@ def with_box(df: DataFrame) -> DataFrame:
     return df.withColumn("box", F.struct(*sides)).drop(*sides)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows of few bytes and much work, in as many tasks as a shuffle has: a file is read by one task or two, and small shuffles are put together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def tag_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ord and lines of made-up tags, from part: prices in three spellings, discount, print time, zone, codes."""
-    # few bytes, much work: a file is read by one task or two
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    p = read(spark, sf_dir, "part").repartition(n, "p_partkey").selectExpr("p_partkey AS k", "p_name", "cast(round(p_retailprice * 100) AS bigint) AS c")
+    p = dealt(read(spark, sf_dir, "part"), "p_partkey").selectExpr("p_partkey AS k", "p_name", "cast(round(p_retailprice * 100) AS bigint) AS c")
     return p.selectExpr(
         "k AS ord",
         """array(concat('Молоко ', p_name, CASE WHEN k % 5 = 0 THEN '  сухое' ELSE '' END),

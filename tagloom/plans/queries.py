@@ -550,15 +550,16 @@ PAYLOAD_FIELDS = """SELECT ord, CASE dialect WHEN 1 THEN gtin ELSE code END AS q
 
 @query("payload_fields", fx.PAYLOADS + PAYLOAD_FIELDS)
 def payload_fields(spark, sf_dir):
-    m = fx.payloads(spark, sf_dir).select("ord", qr.parse_payload(F.col("payload")).alias("m"))
+    m = fx.dealt(fx.payloads(spark, sf_dir), "ord").select("ord", qr.parse_payload(F.col("payload")).alias("m"))
     return m.select("ord", *(F.coalesce(F.element_at("m", c), F.lit("")).alias(c) for c in ("qr_code_barcode", "price1_qr", "price2_qr", "price4_qr", "action_code_qr")))
 
 
 @query("merged_payloads", fx.PAYLOADS + f", pf AS ({PAYLOAD_FIELDS}) SELECT ord // 4 AS g, bool_or(ord % 6 IN (0, 3)) AS structured, " + ", ".join(f"coalesce(arg_min({c}, ord) FILTER ({c} <> ''), 'нет') AS {c}" for c in ("qr_code_barcode", "price1_qr", "price4_qr", "action_code_qr")) + " FROM pf GROUP BY ALL")
 def merged_payloads(spark, sf_dir):
-    p = fx.payloads(spark, sf_dir).groupBy(F.expr("ord div 4").alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "payload"))), lambda x: x["payload"]).alias("ps"))
-    m = qr.with_absent(qr.parse_payloads(F.col("ps")), F.col("ps"))
-    return p.select("g", qr.is_structured(F.col("ps")).alias("structured"), *(F.element_at(m, c).alias(c) for c in ("qr_code_barcode", "price1_qr", "price4_qr", "action_code_qr")))
+    rows = fx.payloads(spark, sf_dir).withColumn("g", F.expr("ord div 4"))
+    p = fx.dealt(rows, "g").groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "payload"))), lambda x: x["payload"]).alias("ps"))
+    p = p.select("g", qr.is_structured(F.col("ps")).alias("structured"), qr.with_absent(qr.parse_payloads(F.col("ps")), F.col("ps")).alias("m"))
+    return p.select("g", "structured", *(F.element_at("m", c).alias(c) for c in ("qr_code_barcode", "price1_qr", "price4_qr", "action_code_qr")))
 
 
 @query("text_likeness")

@@ -6,9 +6,10 @@ import tracemalloc
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.functions import geometry
+from tagloom.functions import geometry, payloads
 from tagloom.operators import boxes, candidates, fusion, propagation, tracking
 from tagloom.plans import fixtures as fx
+from tagloom.plans import queries
 
 N = 30_000
 
@@ -102,3 +103,15 @@ def test_meeting_by_hashes(spark):
 def test_tag_texts_are_dealt_out(spark):
     """The table of parts is one small file; its texts are parsed by as many tasks as a shuffle has."""
     assert fx.tag_text(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_payloads_are_parsed_once_and_dealt_out(spark):
+    """Fields that are filled up with absent ones are worked out once, and by as many tasks as a shuffle has."""
+    df = spark.createDataFrame([(["b=46000000001&p4=12,5"],), ([],)], "ps array<string>")
+    fields = lambda made: payloads.with_absent(F.create_map(F.lit("price4_qr"), made), F.col("ps"))
+    assert df.select(fields(F.upper(F.col("ps")[0])).alias("m"))._jdf.queryExecution().analyzed().toString().count("upper(") == 1
+    out = df.select("ps", payloads.with_absent(payloads.parse_payloads(F.col("ps")), F.col("ps")).alias("m"))
+    rows = {len(r.ps): r.m for r in out.collect()}
+    assert rows[1]["price4_qr"] == "12.50" and rows[1]["price2_qr"] == "нет" and rows[0] == {}
+    for name in ("merged_payloads", "payload_fields"):
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
