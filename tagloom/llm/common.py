@@ -168,16 +168,16 @@ def bit_of(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(bits))
 
 
-def bit_rows(keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """at, bits: a map in which the bit of each key is set, in parts of 4 KB; bits / 32768 rows at most."""
-    b = bit_of(F.col(key), bits) + 1
+def bit_rows(keys: DataFrame, key: str, bits: int, placed: bool = False) -> DataFrame:
+    """at, bits: a map in which the bit of each key is set, in parts of 4 KB; bits / 32768 rows at most. placed: keys are places in the map."""
+    b = (F.col(key).cast("long") if placed else bit_of(F.col(key), bits)) + 1
     return keys.select(b.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
 
 
-def bit_array(keys: DataFrame, key: str, bits: int) -> np.ndarray:
+def bit_array(keys: DataFrame, key: str, bits: int, placed: bool = False) -> np.ndarray:
     """The same map as an array of bytes: `bits` bits, whatever the number of keys."""
     held = np.zeros(bits // 8 + 4096, np.uint8)
-    for p in bit_rows(keys, key, bits).collect():  # bits / 8 bytes
+    for p in bit_rows(keys, key, bits, placed).collect():  # bits / 8 bytes
         x = np.frombuffer(bytes(p.bits), np.uint8)
         held[(p["at"] - 1) * 4096 :][: len(x)] = x
     return held

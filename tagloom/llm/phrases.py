@@ -6,9 +6,11 @@ suffixes ordered by their first 8 symbols, which is as deep as phrases are follo
 extending it by a word to the right is a step of the reverse index, to the left one of the forward index, and the counts
 of smaller symbols in the interval keep the other side in step. numpy extends all intervals of a level at once.
 
-Counts of a level are summed up over shards. A phrase is followed only if all its parts that are one word shorter reach
-the least count over the whole corpus; which do is told to shards by a bit map of bounded size, and what a map lets
-through wrongly falls out by its sum. So shards write their indexes once and are read once a level.
+Counts of a level are summed up over the shards of a task and then over all. A phrase is followed only if all its parts
+that are one word shorter reach the least count over the whole corpus; which do is told to shards by a bit map of bounded
+size, and what a map lets through wrongly falls out by its sum. So shards write their indexes once and are read once a
+level; for pairs, most of which are rare, once more before: places of hashes are counted there, and only pairs whose
+place reaches the least count are counted themselves.
 
 Scores are exact integers in 38 digits. A phrase whose extension by one word, to either side, is as frequent lies inside
 a longer one and is dropped; counts only fall with length, so one word decides.
@@ -39,8 +41,10 @@ from .wordids import pieces_of, row_hash, word_bounds
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Words of a shard, about; rows and bytes that are looked at at once.
 SHARD, ROWS, BYTES = 500_000, 4096, 1_000_000
-#: Rows that a shard sends at once.
-SENT = 100_000
+#: Rows that a task sends at once, and that it holds to put equal ones together.
+SENT, SUMMED = 100_000, 1_000_000
+#: Shards are read by no more tasks than this for each core: so a task has more equal phrases to put together the more text there is.
+TASKS = 4
 #: A shard's row is some megabytes: readers and workers take one at a time.
 SINGLE = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.columnarReaderBatchSize": "1"}
 BREAK, GAP = np.zeros(256, bool), np.zeros(256, bool)
@@ -200,21 +204,53 @@ def columns(length: int) -> list[str]:
     return [f"w{i + 1}" for i in range(length)]
 
 
+def places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Places of phrases, given as rows of ids, in a bit map."""
+    return spark_hash(row_hash([np.ascontiguousarray(ids[:, i]) for i in range(ids.shape[1])])) & (bits - 1)
+
+
 def fits(ids: np.ndarray, maps: dict[int, tuple[np.ndarray, int]]) -> np.ndarray:
     """Whether all parts of the longest length that maps know, of phrases given as rows of ids, may be frequent; phrases of that length are looked up themselves."""
     size = min(max(maps), ids.shape[1])
     held, bits = maps[size]
     ok = np.ones(len(ids), bool)
     for i in range(ids.shape[1] - size + 1):
-        ok &= has_bit(held, spark_hash(row_hash([np.ascontiguousarray(ids[:, i + j]) for j in range(size)])) & (bits - 1))
+        ok &= has_bit(held, places(ids[:, i : i + size], bits))
     return ok
 
 
-def counted(index: DataFrame, length: int, maps: dict[int, tuple[np.ndarray, int]]) -> DataFrame:
-    """w1, w2, ... and n: the phrases of a length in each shard whose parts may be frequent."""
-    sent = index.sparkSession.sparkContext.broadcast(maps)  # 32 MB a length at most
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def together(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of numbers and their counts, equal rows once."""
+    rows, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort(rows.T)
+    rows, n = rows[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])[: len(n)])
+    return rows[new], np.add.reduceat(n, new) if len(n) else n
+
+
+def summed(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of numbers and their counts, equal ones put together as far as SUMMED rows go."""
+    held, total = [], 0
+    for x in found:
+        held.append(x)
+        total += len(x[1])
+        if total >= SUMMED:
+            held = [together(held)]
+            total = len(held[0][1])
+            if 2 * total > SUMMED:
+                yield held[0]
+                held, total = [], 0
+    if held:
+        yield together(held)
+
+
+def counted(index: DataFrame, length: int, maps: dict[int, tuple[np.ndarray, int]], bits: int = 0) -> DataFrame:
+    """w1, w2, ... and n: the phrases of a length in the shards of each task whose parts may be frequent. With bits: place (in a bit map of that size) and n."""
+    spark = index.sparkSession
+    sent = spark.sparkContext.broadcast(maps)  # 32 MB a length at most
+    names, kind = ([*columns(length), "n"], "long") if not bits else (["place", "n"], "int")
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             for i in range(batch.num_rows):
                 forward, backward = (np.frombuffer(batch.column(k)[i].as_buffer(), np.int32) for k in (0, 1))
@@ -224,13 +260,28 @@ def counted(index: DataFrame, length: int, maps: dict[int, tuple[np.ndarray, int
                 for size in range(2, length + 1):
                     p = x.extend(p, right=size % 2 == 0)
                     p = p.take(np.flatnonzero(fits(vocab[p.words], sent.value)))
-                for at in range(0, len(p.n), SENT):
-                    found = vocab[p.words[at : at + SENT]]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(length)), pa.array(p.n[at : at + SENT])], names=[*columns(length), "n"])
+                found, n = vocab[p.words], p.n
                 del x, p
+                yield (places(found, bits).astype(np.int32)[:, None], n) if bits else (found, n)
                 give_back()
 
-    return index.select("forward", "backward", "vocab").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in [*columns(length), "n"]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, n in summed(phrases(batches)):
+            for at in range(0, len(n), SENT):
+                some = [*rows[at : at + SENT].T, n[at : at + SENT]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int32() if bits else pa.int64()) for c in some], names=names)
+
+    tasks = TASKS * spark.sparkContext.defaultParallelism
+    return index.select("forward", "backward", "vocab").coalesce(tasks).mapInArrow(tidy(run), ", ".join(f"{c} {kind}" for c in names))
+
+
+def frequent_places(index: DataFrame, length: int, maps: dict[int, tuple[np.ndarray, int]], least: int) -> tuple[np.ndarray, int]:
+    """A bit map of the places that phrases of a length reach `least` times, and its size: a bit for some eight words, within 128 KB and 32 MB."""
+    words = index.agg(F.sum("n")).first()[0]
+    bits = 1 << min(max((words // 8).bit_length(), 20), 28)
+    with settings(index.sparkSession, SINGLE):
+        many = counted(index, length, maps, bits).groupBy("place").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        return bit_array(many, "place", bits, placed=True), bits
 
 
 def frequent(docs: DataFrame, text: str, lang: str, least: int, longest: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -239,6 +290,8 @@ def frequent(docs: DataFrame, text: str, lang: str, least: int, longest: int) ->
     words = index.select(F.explode(F.arrays_zip("vocab", "counts")).alias("x")).select(F.col("x.vocab").alias("w1"), F.col("x.counts").alias("n"))
     levels, maps = [], {}
     for length in range(1, longest + 1):
+        if length == 2:
+            maps[length] = frequent_places(index, length, maps, least)
         rows = words if length == 1 else counted(index, length, maps)
         with settings(docs.sparkSession, SINGLE):
             level = materialise(rows.groupBy(*columns(length)).agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases-level")

@@ -242,3 +242,20 @@ def test_plan_of_all_lengths_inside_a_session(spark):
         for k, n in pattern.items():
             used[k] += n * often
     assert all(abs(used[k] - n) < 1e-6 for k, n in counts.items())
+
+
+def test_rare_pairs_are_not_sent(spark):
+    """Equal phrases of a task's shards are put together, and pairs that are rare in all of them aren't sent."""
+    texts = [f"red apples green pears w{k} v{k}" for k in range(200)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(16)
+    index = phrases.shards(docs)
+    assert index.count() == 16
+    maps = {1: (np.full(1 << 17, 255, np.uint8), 1 << 20)}
+    every = phrases.counted(index, 2, maps).groupBy("w1", "w2").agg(F.sum("n").alias("n")).collect()
+    frequent = {(r.w1, r.w2): r.n for r in every if r.n >= 40}
+    maps[2] = phrases.frequent_places(index, 2, maps, 40)
+    sent = phrases.counted(index, 2, maps).collect()
+    assert 0 < len(frequent) < len(every) / 2
+    assert {(r.w1, r.w2) for r in sent} == set(frequent) and sum(r.n for r in sent) == sum(frequent.values())
+    twice = list(phrases.summed(iter([(np.array([[1, 2], [3, 4]]), np.array([5, 6])), (np.array([[3, 4]]), np.array([7]))])))
+    assert [(r.tolist(), n.tolist()) for r, n in twice] == [([[1, 2], [3, 4]], [5, 13])]
