@@ -53,8 +53,8 @@ def settled(make: Callable[[], DataFrame], tag: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it again.
+def materialise(df: DataFrame, tag: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write `df` as Parquet in the shared folder, with these options of the writer, and read it again.
 
     Cuts the lineage: later stages survive the loss of any executor, and work that feeds several branches is done once.
     """
@@ -63,7 +63,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     schema = df.schema
     if _WRITTEN:
         _WRITTEN[-1].append(path)
-    df.write.option("compression", "snappy").parquet(path)  # zstd's native buffers add up over many small files
+    df.write.options(**{"compression": "snappy"} | (options or {})).parquet(path)  # zstd's native buffers add up over many small files
     return spark.read.schema(schema).parquet(path)
 
 

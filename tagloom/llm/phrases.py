@@ -40,13 +40,17 @@ from .wordids import pieces_of, row_hash, word_bounds
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Words of a shard, about; rows and bytes that are looked at at once.
-SHARD, ROWS, BYTES = 500_000, 4096, 1_000_000
+SHARD, ROWS, BYTES = 500_000, 4096, 500_000
 #: Rows that a task sends at once, and that it holds to put equal ones together.
 SENT, SUMMED = 100_000, 1_000_000
 #: Shards are read by no more tasks than this for each core: so a task has more equal phrases to put together the more text there is.
 TASKS = 4
 #: A shard's row is some megabytes: readers and workers take one at a time.
 SINGLE = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.columnarReaderBatchSize": "1"}
+#: Texts come to a task in batches of so many bytes; a long text is a batch.
+FED = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m"}
+#: Pages of the index hold one transform each: else all of a file are one page, which codecs take whole, outside the heap.
+PAGES = {"parquet.page.size.row.check.min": "1"}
 BREAK, GAP = np.zeros(256, bool), np.zeros(256, bool)
 BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 GAP[[32, 9]] = True
@@ -54,14 +58,19 @@ GAP[[32, 9]] = True
 
 def order_of(seq: np.ndarray, depth: int = LONGEST) -> np.ndarray:
     """Positions of a sequence, as a ring, in the order of at least their first `depth` symbols: by doubling."""
-    n, rank, size, order = len(seq), seq.astype(np.int64), 1, np.argsort(seq, kind="stable")
-    while size < depth:
-        key = rank * (int(rank.max()) + 1) + np.roll(rank, -size)
+    if not len(seq):
+        return np.zeros(0, np.int64)
+    rank, size = seq.astype(np.int64), 1
+    while True:
+        key = rank * (int(rank.max()) + 1)
+        key += np.roll(rank, -size)
         order = np.argsort(key)
-        sorted_ = key[order]
-        rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
         size *= 2
-    return order if n else np.zeros(0, np.int64)
+        if size >= depth:
+            return order
+        key = key[order]
+        rank[order] = np.concatenate([[False], key[1:] != key[:-1]]).cumsum()
+        del order
 
 
 def transform(seq: np.ndarray) -> np.ndarray:
@@ -134,13 +143,17 @@ class Builder:
         self.n += len(ids)
 
     def shard(self) -> dict:
-        ids, new = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        vocab, symbols, counts = np.unique(ids, return_inverse=True, return_counts=True)
-        seq = np.zeros(len(ids) + int(new.sum()), np.int32)
-        seq[np.arange(len(ids)) + np.cumsum(new) - 1] = symbols + 1
         _, first = np.unique(np.concatenate([x for x, _ in self.known]), return_index=True)
         words = pa.concat_arrays([w for _, w in self.known]).take(pa.array(first))
-        return {"n": len(ids), "forward": transform(seq).tobytes(), "backward": transform(seq[::-1].copy()).tobytes(), "vocab": vocab, "counts": counts, "words": words}
+        ids, new = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.known = [], []  # else held twice
+        vocab, counts = np.unique(ids, return_counts=True)
+        at = new.cumsum()
+        seq = np.zeros(len(ids) + int(at[-1]), np.int32)
+        at += np.arange(-1, len(ids) - 1)
+        seq[at] = np.searchsorted(vocab, ids) + 1
+        del ids, new, at
+        return {"n": self.n, "forward": transform(seq).tobytes(), "backward": transform(seq[::-1].copy()).tobytes(), "vocab": vocab, "counts": counts, "words": words}
 
 
 def pick(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -194,6 +207,7 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
                     b.add(ids, new, words)
                     if b.n >= SHARD:
                         yield row(names[k], open_.pop(names[k]))
+                        give_back()
         for name, b in open_.items():
             yield row(name, b)
 
@@ -220,8 +234,9 @@ def fits(ids: np.ndarray, maps: dict[int, tuple[np.ndarray, int]]) -> np.ndarray
 
 
 def together(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of numbers and their counts, equal rows once."""
+    """Rows of numbers and their counts, equal rows once. The parts are taken out of their list, as they would be held twice."""
     rows, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
     order = np.lexsort(rows.T)
     rows, n = rows[order], n[order]
     new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])[: len(n)])
@@ -286,7 +301,8 @@ def frequent_places(index: DataFrame, length: int, maps: dict[int, tuple[np.ndar
 
 def frequent(docs: DataFrame, text: str, lang: str, least: int, longest: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The index; lang and n (words); and words (array of ids) and n of all phrases of up to `longest` words that occur `least` times."""
-    index = materialise(shards(docs, text, lang), "phrases-index")
+    with settings(docs.sparkSession, FED):
+        index = materialise(shards(docs, text, lang), "phrases-index", PAGES)
     words = index.select(F.explode(F.arrays_zip("vocab", "counts")).alias("x")).select(F.col("x.vocab").alias("w1"), F.col("x.counts").alias("n"))
     levels, maps = [], {}
     for length in range(1, longest + 1):
