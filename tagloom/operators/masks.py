@@ -9,6 +9,8 @@ its surroundings, however large a picture is.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import images
-from ..sources.shared import checkpoints
+from ..sources.shared import checkpoints, stored
 from . import candidates
 from .components import clusters
 
@@ -28,9 +30,18 @@ REDS = (((0, 45, 70), (14, 255, 255)), ((165, 35, 70), (179, 255, 255)), ((4, 35
 WHITE = ((0, 0, 135), (179, 90, 255))
 #: Sum of both directions' brightness differences that makes an edge.
 EDGE = 180
+KNOWN, RED, WHITISH = 1, 2, 4
+#: Pictures, and tiles in either direction, that a function is given at once: so many calls less, at most PICTURES * SIDE * SIDE tiles together.
+PICTURES, SIDE = 16, 4
+#: Tiles whose strips are sent on together.
+AT_ONCE = 64
+TOGETHER = ["pictures", "tiles_y", "tiles_x"]
 TILE = "picture long, ty int, tx int, height int, width int, pixels binary"
-REGION = "label long, x0 int, y0 int, x1 int, y1 int, area long"
-POINT = "y int, x int, label long"
+TILE_COLUMNS = [c.split()[0] for c in TILE.split(", ")]
+#: A tile's regions, the points of regions at its edges, and the points that they would touch beyond, as lists of equal length.
+REGION = {"label": "long", "x0": "int", "y0": "int", "x1": "int", "y1": "int", "area": "long"}
+OWN, ASKED = ({f"{k}_{n}": t for n, t in (("y", "int"), ("x", "int"), ("label", "long"))} for k in ("own", "asked"))
+LISTS = REGION | OWN | ASKED
 
 
 def spread(mask: np.ndarray, half: tuple[int, int], times: int, most: bool) -> np.ndarray:
@@ -51,16 +62,39 @@ def closed_opened(mask: np.ndarray) -> np.ndarray:
     return spread(spread(mask, HALF, 1, False), HALF, 1, True)
 
 
-def colour_masks(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Red (closed and opened), white and edges of blue, green, red pixels, as 0 and 1."""
-    hsv = np.rint(images.hue_saturation_value(image)).reshape(*image.shape[:2], 3)
-    hsv[..., 0] %= 180
-    within = lambda lo, hi: ((hsv >= lo) & (hsv <= hi)).all(2)
-    red = np.any([within(*r) for r in REDS], 0).astype(np.uint8)
-    p = np.pad(np.rint(images.gray(image)), 1, mode="edge")
+@functools.lru_cache(maxsize=1)
+def colour_table() -> tuple[np.ndarray, np.ndarray]:
+    """What a worker knows of each colour so far: KNOWN with RED and WHITE, and brightness. Pages of colours that never come aren't touched."""
+    return np.zeros(1 << 24, np.uint8), np.zeros(1 << 24, np.uint8)
+
+
+def colours(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """KNOWN with RED and WHITE, and brightness, of each pixel: worked out once for each colour."""
+    kind, bright = colour_table()
+    code = (image[..., 0].astype(np.int32) << 16) | (image[..., 1].astype(np.int32) << 8) | image[..., 2]
+    if len(new := np.unique(code[kind[code] == 0])):
+        bgr = np.stack([new >> 16, new >> 8 & 255, new & 255], 1).astype(np.uint8)[:, None]
+        hsv = np.rint(images.hue_saturation_value(bgr))
+        hsv[:, 0] %= 180
+        within = lambda lo, hi: ((hsv >= lo) & (hsv <= hi)).all(1)
+        bright[new] = np.rint(images.gray(bgr))[:, 0]
+        kind[new] = KNOWN + RED * np.any([within(*r) for r in REDS], 0) + WHITISH * within(*WHITE)
+    return kind[code], bright[code]
+
+
+def edges(bright: np.ndarray) -> np.ndarray:
+    """Where brightness (with a rim of one pixel) changes much, as 0 and 1."""
+    p = bright.astype(np.int16)
     dx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
     dy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
-    return closed_opened(red), within(*WHITE).astype(np.uint8), (np.abs(dx) + np.abs(dy) > EDGE).astype(np.uint8)
+    return (np.abs(dx) + np.abs(dy) > EDGE).astype(np.uint8)
+
+
+def colour_masks(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Red (closed and opened), white and edges of blue, green, red pixels, as 0 and 1."""
+    kind, bright = colours(image)
+    red, white = ((kind & k > 0).astype(np.uint8) for k in (RED, WHITISH))
+    return closed_opened(red), white, edges(np.pad(bright, 1, mode="edge"))
 
 
 def labelled(mask: np.ndarray) -> np.ndarray:
@@ -97,77 +131,108 @@ def labelled(mask: np.ndarray) -> np.ndarray:
     return out.reshape(h, w)
 
 
+def cut(picture: int, image: np.ndarray, size: int = SIZE) -> list[tuple]:
+    """Rows of TILE of one picture."""
+    height, width = image.shape[:2]
+    return [(picture, i, k, height, width, image[i * size : (i + 1) * size, k * size : (k + 1) * size].tobytes()) for i in range(-(-height // size)) for k in range(-(-width // size))]
+
+
 def tiles(pictures: DataFrame, size: int = SIZE) -> DataFrame:
     """pictures: picture, height, width, pixels (blue, green, red bytes, row by row). Their tiles; sources of larger pictures give tiles themselves."""
 
     def run(batches):
         for batch in batches:
             for r in batch.itertuples():
-                x = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3)
-                out = [(r.picture, i, k, r.height, r.width, x[i * size : (i + 1) * size, k * size : (k + 1) * size].tobytes()) for i in range(-(-r.height // size)) for k in range(-(-r.width // size))]
-                yield pd.DataFrame(out, columns=["picture", "ty", "tx", "height", "width", "pixels"])
+                yield pd.DataFrame(cut(r.picture, np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3), size), columns=TILE_COLUMNS)
 
     return pictures.select("picture", "height", "width", "pixels").mapInPandas(run, TILE)
 
 
+def together(df: DataFrame, picture: str) -> DataFrame:
+    """df with TOGETHER: which of its tiles are looked at in one call."""
+    block = lambda c, n: F.floor(F.col(c) / n).cast("long")
+    return df.withColumns(dict(zip(TOGETHER, (block(picture, PICTURES), block("ty", SIDE), block("tx", SIDE)), strict=True)))
+
+
 def with_masks(parts: DataFrame, size: int = SIZE) -> DataFrame:
-    """picture, ty, tx, height, width and, for each tile: red, white, edge (a byte a pixel), regions, and the points of regions at its edges: own ones and those that they would touch beyond."""
+    """picture, ty, tx, height, width and, for each tile: red, white, edge (a byte a pixel), and LISTS."""
     if size < max(REACH_X, REACH_Y):
         raise ValueError(f"tiles must be {max(REACH_X, REACH_Y)} pixels or more")
 
     def strips(batches):
-        for batch in batches:
+        for batch in (b.iloc[i : i + AT_ONCE] for b in batches for i in range(0, len(b), AT_ONCE)):
+            out = []
             for r in batch.itertuples():
                 h, w = min(size, r.height - r.ty * size), min(size, r.width - r.tx * size)
-                x = np.frombuffer(r.pixels, np.uint8).reshape(h, w, 3)
-                out = []
-                for dy, rows in ((-1, slice(0, REACH_Y)), (0, slice(None)), (1, slice(-REACH_Y, None))):
-                    for dx, cols in ((-1, slice(0, REACH_X)), (0, slice(None)), (1, slice(-REACH_X, None))):
+                kind, bright = colours(np.frombuffer(r.pixels, np.uint8).reshape(h, w, 3))
+                red = kind & RED > 0
+                for dy, rows, rim_y in ((-1, slice(0, REACH_Y), slice(0, 1)), (0, slice(None), slice(None)), (1, slice(-REACH_Y, None), slice(-1, None))):
+                    for dx, cols, rim_x in ((-1, slice(0, REACH_X), slice(0, 1)), (0, slice(None), slice(None)), (1, slice(-REACH_X, None), slice(-1, None))):
                         if 0 <= (r.ty + dy) * size < r.height and 0 <= (r.tx + dx) * size < r.width:
-                            p = x[rows, cols]
-                            out.append((r.picture, r.ty + dy, r.tx + dx, r.height, r.width, -dy, -dx, p.shape[0], p.shape[1], p.tobytes()))
-                yield pd.DataFrame(out, columns=["picture", "ty", "tx", "height", "width", "dy", "dx", "h", "w", "piece"])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = {(r.dy, r.dx): np.frombuffer(r.piece, np.uint8).reshape(r.h, r.w, 3) for r in pdf.itertuples()}
-        if (0, 0) not in held:
-            return pd.DataFrame(columns=columns)
-        r = pdf.iloc[0]
-        h, w = held[0, 0].shape[:2]
-        whole = np.concatenate([np.concatenate([held[dy, dx] for dx in (-1, 0, 1) if (dy, dx) in held], 1) for dy in (-1, 0, 1) if (dy, 0) in held], 0)
-        top, left = (held[-1, 0].shape[0] if (-1, 0) in held else 0), (held[0, -1].shape[1] if (0, -1) in held else 0)
-        red, white, edge = (m[top : top + h, left : left + w] for m in colour_masks(whole))
-        y0, x0 = int(r.ty) * size, int(r.tx) * size
+                            p, white = red[rows, cols], np.packbits(kind & WHITISH > 0).tobytes() if dy == dx == 0 else b""
+                            out.append((r.picture, r.ty + dy, r.tx + dx, r.height, r.width, -dy, -dx, p.shape[0], p.shape[1], np.packbits(p).tobytes(), white, bright[rim_y, rim_x].tobytes()))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in piece.split(", ")])
+
+    def whole(held: dict) -> np.ndarray:
+        """A tile's part with those of its neighbours around it."""
+        return np.concatenate([np.concatenate([held[dy, dx] for dx in (-1, 0, 1) if (dy, dx) in held], 1) for dy in (-1, 0, 1) if (dy, 0) in held], 0)
+
+    def one(picture: int, ty: int, tx: int, height: int, width: int, held: dict) -> tuple:
+        h, w = held[0, 0].h, held[0, 0].w
+        bits = lambda x, h, w: np.unpackbits(np.frombuffer(x, np.uint8), count=h * w).reshape(h, w)
+        top, left = (held[-1, 0].h if (-1, 0) in held else 0), (held[0, -1].w if (0, -1) in held else 0)
+        red = closed_opened(whole({k: bits(r.red, r.h, r.w) for k, r in held.items()}))[top : top + h, left : left + w]
+        rims = whole({(dy, dx): np.frombuffer(r.bright, np.uint8).reshape(1 if dy else h, 1 if dx else w) for (dy, dx), r in held.items()})
+        edge = edges(np.pad(rims, [[int((d, 0) not in held) for d in (-1, 1)], [int((0, d) not in held) for d in (-1, 1)]], mode="edge"))
+        white = bits(held[0, 0].white, h, w)
+        y0, x0 = ty * size, tx * size
         label = labelled(red)
-        name = np.where(label >= 0, (label // w + y0) * int(r.width) + label % w + x0, -1)
         ys, xs = np.nonzero(label >= 0)
-        kinds, of = np.unique(name[ys, xs], return_inverse=True)
+        kinds, of = np.unique(label[ys, xs], return_inverse=True)
+        name = lambda v: (v // w + y0) * width + v % w + x0
         ends = lambda f, v, start: f.at(out := np.full(len(kinds), start), of, v) or out
-        area = np.bincount(of, minlength=len(kinds))
-        boxes = zip(kinds.tolist(), (ends(np.minimum, xs, 1 << 30) + x0).tolist(), (ends(np.minimum, ys, 1 << 30) + y0).tolist(), (ends(np.maximum, xs, -1) + x0 + 1).tolist(), (ends(np.maximum, ys, -1) + y0 + 1).tolist(), area.tolist(), strict=True)
-        points = list(zip((ys + y0).tolist(), (xs + x0).tolist(), name[ys, xs].tolist(), strict=True))
-        own = [p for p in points if p[0] == y0 or p[1] == x0]
-        asked = [(y + d, x + 1, k) for y, x, k in points if x == x0 + w - 1 for d in (-1, 0, 1)] + [(y + 1, x + d, k) for y, x, k in points if y == y0 + h - 1 for d in (-1, 0, 1)]
-        row = (r.picture, r.ty, r.tx, r.height, r.width, red.tobytes(), white.tobytes(), edge.tobytes(), [dict(zip(("label", "x0", "y0", "x1", "y1", "area"), b, strict=True)) for b in boxes], *([dict(zip("yx", p, strict=False)) | {"label": p[2]} for p in ps] for ps in (own, asked)))
-        return pd.DataFrame([row], columns=columns)
-
-    columns = ["picture", "ty", "tx", "height", "width", "red", "white", "edge", "regions", "own", "asked"]
-    types = lambda s: ",".join(":".join(c.split(" ")) for c in s.split(", "))
-    schema = f"picture long, ty int, tx int, height int, width int, red binary, white binary, edge binary, regions array<struct<{types(REGION)}>>, own array<struct<{types(POINT)}>>, asked array<struct<{types(POINT)}>>"
-    sent = parts.mapInPandas(strips, "picture long, ty int, tx int, height int, width int, dy int, dx int, h int, w int, piece binary")
+        sides = (ends(np.minimum, xs, 1 << 30) + x0, ends(np.minimum, ys, 1 << 30) + y0, ends(np.maximum, xs, -1) + x0 + 1, ends(np.maximum, ys, -1) + y0 + 1)
+
+        def along(y: int, x: int, line: np.ndarray, down: bool) -> np.ndarray:
+            """Points (y, x, label) of regions on a line of labels that begins at (y, x)."""
+            at = np.flatnonzero(line >= 0)
+            return np.stack([y + at * down, x + at * (not down), name(line[at])])
+
+        # only edges behind which there are other tiles
+        none = np.zeros((3, 0), np.int64)
+        own = [along(y0, x0, label[0], False) if ty else none, along(y0 + bool(ty), x0, label[bool(ty) :, 0], True) if tx else none]
+        right = along(y0, x0 + w - 1, label[:, -1], True) if x0 + w < width else none
+        below = along(y0 + h - 1, x0, label[-1], False) if y0 + h < height else none
+        asked = [p + np.array([[dy], [dx], [0]]) for p, steps in ((right, ((-1, 1), (0, 1), (1, 1))), (below, ((1, -1), (1, 0), (1, 1)))) for dy, dx in steps]
+        regions = (name(kinds), *sides, np.bincount(of, minlength=len(kinds)))
+        return (picture, ty, tx, height, width, red.tobytes(), white.tobytes(), edge.tobytes(), *regions, *np.concatenate(own, 1), *np.concatenate(asked, 1))
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        held: dict[tuple, dict] = {}
+        for r in pdf.itertuples():
+            held.setdefault((r.picture, r.ty, r.tx, r.height, r.width), {})[r.dy, r.dx] = r
+        return pd.DataFrame([one(*key, pieces) for key, pieces in held.items() if (0, 0) in pieces], columns=columns)
+
+    schema = f"picture long, ty int, tx int, height int, width int, red binary, white binary, edge binary, {', '.join(f'{n} array<{t}>' for n, t in LISTS.items())}"
+    columns = [c.split()[0] for c in schema.split(", ")]
+    # what a tile's neighbours and itself need of it: bits of red and white, and brightness with a rim of one pixel
+    piece = "picture long, ty int, tx int, height int, width int, dy int, dx int, h int, w int, red binary, white binary, bright binary"
+    sent = parts.mapInPandas(strips, piece)
     # few bytes, much work: the number of tasks is given, or small partitions would be put together
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sent.repartition(n, "picture", "ty", "tx").groupBy("picture", "ty", "tx").applyInPandas(one, schema)
+    sent = together(sent, "picture").repartition(n, *TOGETHER)
+    return sent.groupBy(*TOGETHER).applyInPandas(some, schema)
 
 
 def regions(masked: DataFrame) -> DataFrame:
     """picture, height, width, box and area (pixels) of the red regions of whole pictures. masked: with_masks(), stored."""
-    own = masked.select("picture", F.explode("own").alias("p")).select("picture", "p.*")
-    asked = masked.select("picture", F.explode("asked").alias("p")).select("picture", "p.y", "p.x", F.col("p.label").alias("from"))
+    listed = lambda keys, names: masked.select(*keys, F.explode(F.arrays_zip(*names)).alias("p")).select(*keys, "p.*")
+    own = listed(["picture"], OWN).toDF("picture", "y", "x", "label")
+    asked = listed(["picture"], ASKED).toDF("picture", "y", "x", "from")
     node = lambda c: F.struct("picture", F.col(c).alias("label"))
     met = own.join(asked, ["picture", "y", "x"]).select(node("label").alias("a"), node("from").alias("b")).where("a <> b").distinct()
     found = clusters(met).select("node.picture", "node.label", F.col("cluster.label").alias("root"))
-    parts = masked.select("picture", "height", "width", F.explode("regions").alias("r")).select("picture", "height", "width", "r.*")
+    parts = listed(["picture", "height", "width"], REGION)
     joined = parts.join(found, ["picture", "label"], "left").groupBy("picture", "height", "width", F.coalesce("root", "label").alias("label"))
     sides = joined.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("area").alias("area"))
     return sides.select("picture", "height", "width", g.box(*(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1"))).alias("box"), "area")
@@ -182,21 +247,24 @@ def shares(masked: DataFrame, boxes: DataFrame, size: int = SIZE) -> DataFrame:
 
     def count(tiles: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = asked[["of", "ord"]].rename(columns={"of": "picture"})
-        for c in ("red", "white", "edge"):
-            out[c] = 0
-        if len(tiles) and len(asked):
-            r = tiles.iloc[0]
-            y0, x0 = int(r.ty) * size, int(r.tx) * size
-            h, w = min(size, int(r.height) - y0), min(size, int(r.width) - x0)
-            top, bottom = (np.clip(asked[c].to_numpy() - y0, 0, h) for c in ("y1", "y2"))
-            left, right = (np.clip(asked[c].to_numpy() - x0, 0, w) for c in ("x1", "x2"))
-            for c in ("red", "white", "edge"):
-                s = np.pad(np.frombuffer(r[c], np.uint8).reshape(h, w).astype(np.int64), ((1, 0), (1, 0))).cumsum(0).cumsum(1)
-                out[c] = s[bottom, right] - s[top, right] - s[bottom, left] + s[top, left]
-        return out
-
-    slim = masked.select(*(F.col(c).alias(c) for c in ("picture", "ty", "tx", "height", "width", "red", "white", "edge")))
-    found = slim.groupBy("picture", "ty", "tx").cogroup(placed.groupBy("of", "ty", "tx")).applyInPandas(count, "picture long, ord long, red long, white long, edge long")
+        got = np.zeros((3, len(asked)), np.int64)
+        at = {(r.picture, r.ty, r.tx): r for r in tiles.itertuples()}
+        sides = [asked[c].to_numpy() for c in ("y1", "y2", "x1", "x2")]
+        for key, i in asked.groupby(["of", "ty", "tx"]).indices.items():
+            if (r := at.get(key)) is None:
+                continue
+            y0, x0 = r.ty * size, r.tx * size
+            h, w = min(size, r.height - y0), min(size, r.width - x0)
+            top, bottom, left, right = (np.clip(v[i] - o, 0, m) for v, o, m in zip(sides, (y0, y0, x0, x0), (h, h, w, w), strict=True))
+            for k, c in enumerate((r.red, r.white, r.edge)):
+                s = np.zeros((h + 1, w + 1), np.int64)
+                np.frombuffer(c, np.uint8).reshape(h, w).cumsum(0, out=s[1:, 1:], dtype=np.int64).cumsum(1, out=s[1:, 1:])
+                got[k, i] = s[bottom, right] - s[top, right] - s[bottom, left] + s[top, left]
+        return out.assign(red=got[0], white=got[1], edge=got[2])
+
+    slim = together(masked.select(*(F.col(c).alias(c) for c in ("picture", "ty", "tx", "height", "width", "red", "white", "edge"))), "picture")
+    n = int(masked.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
+    found = slim.repartition(n, *TOGETHER).groupBy(*TOGETHER).cogroup(together(placed, "of").repartition(n, *TOGETHER).groupBy(*TOGETHER)).applyInPandas(count, "picture long, ord long, red long, white long, edge long")
     summed = found.groupBy("picture", "ord").agg(*(F.sum(c).alias(c) for c in ("red", "white", "edge")))
     area = ((x2 - x1) * (y2 - y1)).cast("double")
     return boxes.join(summed, ["picture", "ord"]).withColumns({c: F.col(c) / area for c in ("red", "white", "edge")})
@@ -205,7 +273,7 @@ def shares(masked: DataFrame, boxes: DataFrame, size: int = SIZE) -> DataFrame:
 def tag_candidates(parts: DataFrame, size: int = SIZE, least_area: int = 80) -> DataFrame:
     """picture, box, score of candidates around the red panels of tiled pictures, by their size, shape and colours."""
     checkpoints(parts.sparkSession)
-    masked = with_masks(parts, size).checkpoint()
+    masked = stored(with_masks(parts, size), "masks")
     panels = regions(masked).where(F.col("area") >= least_area)
     w, h = (F.col(c).cast("double") for c in ("width", "height"))
     made = panels.select("picture", "height", "width", F.explode(candidates.panel_candidates(F.col("box"))).alias("c")).select("picture", "height", "width", g.clip(F.col("c.box"), w, h).alias("box"))

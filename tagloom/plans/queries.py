@@ -649,8 +649,8 @@ def candidate_scores(spark, sf_dir):
 PICTURES = 32
 
 
-def painted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A picture of each embedding: grey, with two white tags that have a red panel and dark lines, placed and sized by its values."""
+def painted(spark: SparkSession, sf_dir: str, size: int | None = None) -> DataFrame:
+    """A picture of each embedding: grey, with two white tags that have a red panel and dark lines, placed and sized by its values. With a size, its tiles."""
     height, width = 192, 256
     # few bytes, much work
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -667,16 +667,19 @@ def painted(spark: SparkSession, sf_dir: str) -> DataFrame:
                     x[y : y + h, z : z + w] = 235
                     x[y : y + h, z : z + w // 3] = (30, 30, 190 + a % 60)
                     x[y + 6 : y + h - 4 : 5, z + w // 2 : z + w - 4] = 25
-                out.append(x.tobytes())
+                out.append(x if size else x.tobytes())
+            if size:
+                yield pd.DataFrame([t for k, x in zip(batch.vec_id.tolist(), out, strict=True) for t in masks.cut(k, x, size)], columns=masks.TILE_COLUMNS)
+                continue
             yield pd.DataFrame({"picture": batch.vec_id, "height": height, "width": width, "pixels": out}).astype({"height": "int32", "width": "int32"})
 
-    return fx.read(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL AND size(embedding) > 0").select("vec_id", "embedding").repartition(n, "vec_id").mapInPandas(run, "picture long, height int, width int, pixels binary")
+    return fx.read(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL AND size(embedding) > 0").select("vec_id", "embedding").repartition(n, "vec_id").mapInPandas(run, masks.TILE if size else "picture long, height int, width int, pixels binary")
 
 
 @query("pixel_candidates")
 def pixel_candidates(spark, sf_dir):
     """Candidates of tags from the pixels of pictures in tiles: masks, regions across tiles, shares of colours, scores."""
-    c = masks.tag_candidates(masks.tiles(painted(spark, sf_dir), 128), 128)
+    c = masks.tag_candidates(painted(spark, sf_dir, 128), 128)
     return c.select("picture", *(F.round(f"box.{s}", 6).alias(s) for s in ("x_min", "y_min", "x_max", "y_max")), F.round("score", 6).alias("score"))
 
 

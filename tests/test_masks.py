@@ -125,3 +125,20 @@ def test_query_as_one_tile(spark):
     some = queries.painted(spark, sf).where("picture % 9 = 0")
     whole = {(r.picture, *(round(v, 6) for v in r.box), round(r.score, 6)) for r in masks.tag_candidates(masks.tiles(some)).collect()}
     assert whole == {r for r in rows if r[0] % 9 == 0} and whole
+
+
+def test_colours_are_worked_out_once(monkeypatch):
+    """A colour that a worker has seen isn't looked at again, in whatever picture; what is told of it is what its pixels say."""
+    rng, asked, plain = np.random.default_rng(3), [], masks.images.hue_saturation_value
+    monkeypatch.setattr(masks.images, "hue_saturation_value", lambda x: (asked.append(x.size // 3), plain(x))[1])
+    masks.colour_table.cache_clear()
+    some = rng.integers(0, 256, (50, 3)).astype(np.uint8)
+    for _ in range(4):
+        x = some[rng.permutation(np.arange(1000) % 50)].reshape(20, 50, 3)
+        kind, bright = masks.colours(x)
+        hsv = np.rint(plain(x)).reshape(20, 50, 3)
+        hsv[..., 0] %= 180
+        within = lambda lo, hi: ((hsv >= lo) & (hsv <= hi)).all(2)
+        assert (bright == np.rint(masks.images.gray(x))).all() and (kind & masks.KNOWN > 0).all()
+        assert ((kind & masks.RED > 0) == np.any([within(*r) for r in masks.REDS], 0)).all() and ((kind & masks.WHITISH > 0) == within(*masks.WHITE)).all()
+    assert asked == [len(np.unique(some, axis=0))]
