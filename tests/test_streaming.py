@@ -89,3 +89,46 @@ def test_empty_table(spark, tmp_path):
 
 def test_heartbeats_have_no_rows(spark):
     assert spark.createDataFrame([beat(1)], SCHEMA).where(F.col("filename").isNull()).count() == 1
+
+
+def test_one_frame_is_held_at_a_time():
+    """Waiting detections are fetched, and told, frame by frame, in order of frames and ordinals; pieces of one frame together."""
+    import pandas as pd
+
+    from tagloom.streaming.tracker import IDS, SIDES, TrackVideos
+
+    class State:
+        def __init__(self):
+            self.held, self.log = {}, []
+
+        exists = lambda self: bool(self.held)
+        get = lambda self: self.held[()]
+        keys = lambda self: iter(list(self.held))
+        iterator = lambda self: iter(list(self.held.items()))
+        clear = lambda self: self.held.clear()
+        update = lambda self, v: self.held.update({(): v})
+        updateValue = lambda self, k, v: self.held.update({k: v})
+
+        def getValue(self, k):
+            self.log.append(k[0])
+            return self.held[k]
+
+        def removeKey(self, k):
+            del self.held[k]
+
+    class Handle:
+        getValueState = getMapState = lambda self, *_: State()
+        registerTimer = deleteTimer = lambda self, _: None
+
+    row = lambda f, o: {"frame_index": f, "ts": f * 500, "ord": o, "score": 0.5, **dict(zip(SIDES, (o % 10 * 300.0, 0.0, o % 10 * 300.0 + 90, 50.0), strict=True)), **dict.fromkeys(IDS)}
+    rows = [row(f, f * 10 + i) for i in (3, 1, 2, 0) for f in (2, 0, 3, 1)] + [row(4, 0) | {"ord": None, "score": None}]
+    p = TrackVideos(tracking.TrackerConfig(), 60_000)
+    p.init(Handle())
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: 1800})()
+    seen = []
+    for out in p.handleInputRows(("v",), iter([pd.DataFrame(rows[at : at + 7]) for at in range(0, len(rows), 7)]), clock):
+        if len(out):
+            assert set(out.frame_index) == {p.waiting.log[-1]}
+            seen += list(zip(out.frame_index, out.ord, out.track_id, strict=True))
+    assert seen == [(f, f * 10 + i, i + 1) for f in range(4) for i in range(4)]
+    assert {k[0] for k in p.waiting.held} == {4} and p.waiting.log == sorted(p.waiting.log)
